@@ -19,6 +19,7 @@ has no influence on results.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -35,7 +36,7 @@ from docquarry.llm.common import prepare_workers
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Words kept in a worker's memo; when full it is emptied.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 600_000
 #: Characters of text whose words are learnt together.
 LEARN_CHARS = 1_000_000
 
@@ -104,10 +105,15 @@ class Codec:
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == pb.ModelProto.SentencePiece.BYTE}
         #: Bytes of normalised text under each id; a byte piece covers one.
         self.width = np.array([1 if p.type == pb.ModelProto.SentencePiece.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
-        self.marks = np.array([len(p.piece) - len(p.piece.lstrip(MARK)) for p in proto.pieces], np.int64)
+        #: Bytes of source text where a mark stands for one blank and nothing else changes.
+        self.span = self.width - 2 * np.array([p.piece.count(MARK) for p in proto.pieces], np.int64)
         #: What each id decodes to inside a text: byte pieces are raw bytes, marks blanks.
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == pb.ModelProto.SentencePiece.BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
-        self.memo: dict[str, tuple[bytes, bytes, bytes]] = {}
+        special = [i for i, p in enumerate(proto.pieces) if p.type != normal]
+        #: Ids from here on are pieces of characters.
+        self.first_normal = max(special, default=-1) + 1
+        self.memo: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
 
     # -- normalisation ----------------------------------------------------
 
@@ -189,20 +195,24 @@ class Codec:
     # -- whole texts ---------------------------------------------------------
 
     def learn(self, words: set[str]) -> None:
-        """Puts words into the memo: ids, source widths and decoded bytes, each as
-        the raw bytes that are joined later.  Words come without their last mark."""
+        """Puts the ids of words into the memo, as the raw bytes that are joined
+        later; words that don't decode to themselves go to a second memo.  Words
+        come without their last mark."""
         fresh = list(words)
         coded = self.library.encode(fresh, num_threads=1)
         for k, ids in enumerate(coded):
             if not ids:  # the empty word is a lone mark
                 coded[k] = self.merge(MARK)
-        flat = np.fromiter(chain.from_iterable(coded), np.uint32)
-        flat_ids, flat_widths = flat.tobytes(), (self.width[flat] - 2 * self.marks[flat]).astype(np.uint32).tobytes()
-        memo, surface, at = self.memo, self.surface, 0
+        flat = np.fromiter(chain.from_iterable(coded), np.uint32).tobytes()
+        memo, surface, floor, at = self.memo, self.surface, self.first_normal, 0
         for word, ids in zip(fresh, coded, strict=True):
             end = at + 4 * len(ids)
-            memo[word] = (flat_ids[at:end], flat_widths[at:end], b"".join([surface[i] for i in ids]))
+            memo[word] = flat[at:end]
             at = end
+            if min(ids) < floor:  # pieces of characters join to the word itself
+                back = b"".join([surface[i] for i in ids])
+                if back[1:] != word.encode():
+                    self.odd[word] = back
 
     def words_of(self, text: str) -> list[str]:
         """The text's marked words, each without its last mark's place: a word is
@@ -211,26 +221,34 @@ class Codec:
             return text.split(" ")
         return [w[1:] for w in re.findall(r" +[^ ]*", " " + text)]
 
-    def encode_plain(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bytes]]:
-        """For models with an empty character map: ids, source widths, decoded text.
-        Words are learnt for some texts at a time, so that the library is called
-        for many words at once."""
+    def encode_plain(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """For models with an empty character map: ids and decoded text.  Words are
+        learnt for some texts at a time, so that the library is called for many
+        words at once."""
         at = 0
         while at < len(texts):
-            split, chars = [], 0
+            if len(self.memo) > MEMO_WORDS:
+                self.memo.clear()
+                self.odd.clear()
+            known, first, split, chars, new = self.memo.get, at, [], 0, set()
             while at < len(texts) and chars < LEARN_CHARS:
-                split.append(self.words_of(texts[at]) if texts[at] else [])
+                own = self.words_of(texts[at]) if texts[at] else []
+                got = list(map(known, own))
+                missed = [w for w, g in zip(own, got, strict=True) if g is None] if None in got else None
+                if missed:
+                    new.update(missed)
+                split.append((own, got, missed))
                 chars += len(texts[at])
                 at += 1
-            words = set().union(*split)
-            if len(self.memo) + len(words) > MEMO_WORDS:
-                self.memo.clear()
-            if new := words.difference(self.memo):
+            if new:
                 self.learn(new)
-            memo = self.memo
-            for own in split:
-                got = [memo[w] for w in own]
-                yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got]), b"".join([g[2] for g in got])
+            odd = self.odd
+            for text, (own, got, missed) in zip(texts[first:at], split, strict=True):
+                if missed:
+                    fill = iter(missed)
+                    got = [known(next(fill)) if g is None else g for g in got]
+                back = b"".join([odd.get(w) or b" " + w.encode() for w in own])[1:] if odd and not odd.keys().isdisjoint(own) else text.encode()
+                yield b"".join(got), back
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end, and the begin and end byte of each in the text;
@@ -238,10 +256,9 @@ class Codec:
         text = text or ""
         size = len(text.encode())
         if self.plain and MARK not in text:
-            ids, width, _ = next(self.encode_plain([text]))
-            ids, width = np.frombuffer(ids, np.uint32), np.frombuffer(width, np.uint32).astype(np.int64)
-            ends = np.cumsum(width)
-            begins = ends - width
+            ids = np.frombuffer(next(self.encode_plain([text]))[0], np.uint32)
+            ends = np.cumsum(self.span[ids])
+            begins = ends - self.span[ids]
             # the first mark stands for no byte of the text
             begins, ends = np.maximum(begins - 1, 0), np.maximum(ends - 1, 0)
         else:
@@ -265,11 +282,9 @@ class Codec:
         plain = self.encode_plain([t for t in whole if MARK not in t]) if self.plain else iter(())
         for text in whole:
             if self.plain and MARK not in text:
-                ids, width, back = next(plain)
-                back = back[1:] if back.startswith(b" ") else back
-                ids = head + ids + tail
-                ends = np.maximum(np.cumsum(np.frombuffer(width, np.uint32).astype(np.int64)) - 1, 0)
-                spans = ends.astype("<u4").tobytes()
+                ids, back = next(plain)
+                ends = np.cumsum(self.span[np.frombuffer(ids, np.uint32)]) - 1
+                ids, spans = head + ids + tail, np.maximum(ends, 0).astype("<u4").tobytes()
             else:
                 at, _, ends = self.encode(text)
                 back, ids, spans = self.decode(at).encode(), at.astype("<u4").tobytes(), ends[1:-1].astype("<u4").tobytes()
@@ -326,6 +341,7 @@ def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches):
         own = codec(model_path)
+        gc.disable()  # the memo holds no cycles, and scanning it is dear
         for batch in batches:
             rows = list(own.digests(batch.column(1).to_pylist()))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
