@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import media, sentencepiece_codec
+from docquarry.llm import media, pii, sentencepiece_codec
 from docquarry.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,14 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised personal data in every whole text."""
+    return pii.scan_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op6_pii": op6_pii,
     "op5_media_columns": op5_media_columns,
 }
 
