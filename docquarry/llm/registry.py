@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import media, pii, sentencepiece_codec
-from docquarry.llm.common import documents
+from docquarry.llm import media, pii, sentencepiece_codec, sharding, toxicity
+from docquarry.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +37,23 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_documents(documents(spark, sf_dir))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over 16 equal shards, and the owner with a seventeenth."""
+    return sharding.assign_shards(documents(spark, sf_dir), [1.0] * 16)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every whole text, learnt from a bounded sample of the labels."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(*toxicity.fit_rows(docs, labels(spark, sf_dir), "toxic", toxicity.LABEL_ROWS))
+    return toxicity.score_documents(docs, model)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op6_pii": op6_pii,
+    "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
     "op5_media_columns": op5_media_columns,
 }
 
