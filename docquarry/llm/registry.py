@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import media, pii, sentencepiece_codec, sharding, toxicity
+from docquarry.llm import media, pii, quality, sentencepiece_codec, sharding, toxicity
 from docquarry.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digests(documents(spark, sf_dir), tokenizer_model())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learnt from a bounded sample of the labels."""
+    docs = documents(spark, sf_dir)
+    return quality.score_documents(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a WAVE payload, read back, sniffed and described."""
     return media.media_digests(documents(spark, sf_dir))
@@ -54,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op6_pii": op6_pii,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op2_quality": op2_quality,
     "op5_media_columns": op5_media_columns,
 }
 
