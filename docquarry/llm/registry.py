@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import media, pii, quality, sentencepiece_codec, sharding, toxicity
+from docquarry.llm import media, mixing, pii, quality, sentencepiece_codec, sharding, toxicity
 from docquarry.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: weights 3, 1, 2 in turn, 150% of all words."""
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a WAVE payload, read back, sniffed and described."""
     return media.media_digests(documents(spark, sf_dir))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op2_quality": op2_quality,
+    "op3_mixing": op3_mixing,
     "op5_media_columns": op5_media_columns,
 }
 
