@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import media, mixing, pii, quality, sentencepiece_codec, sharding, toxicity
+from docquarry.llm import media, mixing, pii, quality, sentencepiece_codec, sharding, simhash, toxicity
 from docquarry.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_documents(documents(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, at most two bits apart."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 equal shards, and the owner with a seventeenth."""
     return sharding.assign_shards(documents(spark, sf_dir), [1.0] * 16)
@@ -63,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op6_pii": op6_pii,
+    "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op2_quality": op2_quality,
