@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import media, mixing, pii, quality, sentencepiece_codec, sharding, simhash, toxicity
+from docquarry.llm import media, mixing, pii, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity
 from docquarry.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked weak candidates in every whole text."""
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a WAVE payload, read back, sniffed and described."""
     return media.media_digests(documents(spark, sf_dir))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_secrets": op4_secrets,
     "op5_media_columns": op5_media_columns,
 }
 
