@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import media, mixing, pii, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity
+from docquarry.llm import media, mixing, pii, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, version_sketch
 from docquarry.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against its edited text and the next document."""
+    return version_sketch.version_report(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 equal shards, and the owner with a seventeenth."""
     return sharding.assign_shards(documents(spark, sf_dir), [1.0] * 16)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
+    "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op2_quality": op2_quality,
