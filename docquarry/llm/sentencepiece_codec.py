@@ -250,27 +250,33 @@ class Codec:
                 back = b"".join([odd.get(w) or b" " + w.encode() for w in own])[1:] if odd and not odd.keys().isdisjoint(own) else text.encode()
                 yield b"".join(got), back
 
+    def encode_many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids with begin and end, and the begin and end byte of each in its text; the
+        begin and end ids have empty spans."""
+        whole = [t or "" for t in texts]
+        plain = self.encode_plain([t for t in whole if MARK not in t]) if self.plain else iter(())
+        for text in whole:
+            size = len(text.encode())
+            if self.plain and MARK not in text:
+                ids = np.frombuffer(next(plain)[0], np.uint32)
+                ends = np.cumsum(self.span[ids])
+                begins = ends - self.span[ids]
+                # the first mark stands for no byte of the text
+                begins, ends = np.maximum(begins - 1, 0), np.maximum(ends - 1, 0)
+            else:
+                normal, source = self.normalise(text)
+                got: list[int] = []
+                for word in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", normal):
+                    got += self.merge(word)
+                ids = np.array(got, np.uint32)
+                ends = np.cumsum(self.width[ids]) if got else np.zeros(0, np.int64)
+                begins = source[ends - self.width[ids]] if got else ends
+                ends = source[ends] if got else ends
+            yield np.concatenate([[self.bos], ids, [self.eos]]).astype(np.uint32), np.concatenate([[0], begins, [size]]).astype(np.int64), np.concatenate([[0], ends, [size]]).astype(np.int64)
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids with begin and end, and the begin and end byte of each in the text;
-        the begin and end ids have empty spans."""
-        text = text or ""
-        size = len(text.encode())
-        if self.plain and MARK not in text:
-            ids = np.frombuffer(next(self.encode_plain([text]))[0], np.uint32)
-            ends = np.cumsum(self.span[ids])
-            begins = ends - self.span[ids]
-            # the first mark stands for no byte of the text
-            begins, ends = np.maximum(begins - 1, 0), np.maximum(ends - 1, 0)
-        else:
-            normal, source = self.normalise(text)
-            got: list[int] = []
-            for word in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", normal):
-                got += self.merge(word)
-            ids = np.array(got, np.uint32)
-            ends = np.cumsum(self.width[ids]) if got else np.zeros(0, np.int64)
-            begins = source[ends - self.width[ids]] if got else ends
-            ends = source[ends] if got else ends
-        return (np.concatenate([[self.bos], ids, [self.eos]]).astype(np.uint32), np.concatenate([[0], begins, [size]]).astype(np.int64), np.concatenate([[0], ends, [size]]).astype(np.int64))
+        """One text's ids and spans."""
+        return next(self.encode_many([text]))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode([int(i) for i in ids])
@@ -308,7 +314,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches):
         own = codec(model_path)
         for batch in batches:
-            coded = [own.encode(t) for t in batch.column(1).to_pylist()]
+            coded = list(own.encode_many(batch.column(1).to_pylist()))
             lists = [pa.array([c[k].astype(np.int32) for c in coded], pa.list_(pa.int32())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "ids", "begins", "ends"])
 
