@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions.ordering import ensure_checkpoint_dir, numbered
+
+__all__ = ["WORD", "documents", "ensure_checkpoint_dir", "labels", "let", "numbered", "prepare_workers"]
+
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Words are runs of anything but the six ASCII blanks.
@@ -35,34 +39,7 @@ def prepare_workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; a local one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or "/tmp/docquarry-checkpoints")
-
-
 def let(value: Column, body) -> Column:
     """Binds a value once for a larger expression: without it the optimizer may
     inline the value into a lambda and compute it again for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds the rows' places, from 0, in a total order, without one task for all rows:
-    ranges are sorted apart and shifted by the number of rows before them.
-
-    The ranges are cut anew on every evaluation, so they are kept before they are counted.
-    """
-    ensure_checkpoint_dir(rows.sparkSession)
-    low = (1 << 33) - 1
-    cut = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright(F.col("__at"), 33)
-    counts = cut.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
-    # one row for each partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    placed = cut.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit(low))).drop("__at", "__part", "__before")
