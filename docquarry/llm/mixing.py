@@ -131,7 +131,7 @@ def mix_documents(docs: DataFrame, text_col: str = "text", length_col: str | Non
     # a word with the blanks after it; blanks before the first word go with it
     pieces = F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(rf"([\x20\x09-\x0D]*{WORD}[\x20\x09-\x0D]*)"), F.lit(1))
     part = F.array_join(F.slice(pieces, (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")), "")
-    whole = F.col("rounds") + ((F.col("end") - F.col("begin") == F.col("size")) & (F.col("size") > 0)).cast("long")
+    whole = F.when(F.col("size") > 0, F.col("rounds") + (F.col("end") - F.col("begin") == F.col("size")).cast("long")).otherwise(0)
     cut = (F.col("end") > F.col("begin")) & (F.col("end") - F.col("begin") < F.col("size"))
     copies = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(cut, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     taken = mixed.withColumn("cut", F.explode(copies))

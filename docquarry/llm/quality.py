@@ -83,12 +83,14 @@ def lag_shares(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def pooled(net: ByteNet, data: np.ndarray) -> np.ndarray:
-    """Max-pooled filters and lag shares of every chunk, a block at a time."""
+def pooled(net: ByteNet, data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Max-pooled filters and lag shares of every chunk, a block at a time.  Windows of padding
+    that reach over the end of a text, in its ``last`` chunk, are left out."""
     parts = []
     for at in range(0, len(data), BLOCK):
         part = data[at : at + BLOCK + WIDTH]
         own, _ = windows(net, data[at : at + BLOCK]) if len(part) <= BLOCK else windows_with_tail(net, part)
+        own[last[at // CHUNK : at // CHUNK + len(own)], 1 - WIDTH // STRIDE :] = -np.inf
         parts.append(np.hstack([np.maximum(own.max(1) + net.bias, 0), lag_shares(data[at : at + BLOCK])]))
     return np.vstack(parts)
 
@@ -123,7 +125,9 @@ def score_texts(net: ByteNet, texts: list[str | None]) -> np.ndarray:
         nonlocal held, size
         if held:
             data = np.concatenate([d for d, _ in held])
-            summary = summaries(pooled(net, data), [len(d) // CHUNK for d, _ in held], np.array([n for _, n in held]))
+            last = np.zeros(len(data) // CHUNK, bool)
+            last[np.cumsum([len(d) // CHUNK for d, _ in held]) - 1] = True
+            summary = summaries(pooled(net, data, last), [len(d) // CHUNK for d, _ in held], np.array([n for _, n in held]))
             scores.append(probabilities(net, summary))
         held, size = [], 0
 
@@ -159,6 +163,7 @@ def train(texts: list[str], good: np.ndarray, steps: int = STEPS, batch: int = 6
             sizes = [len(p) for p in picked]
             flat = np.concatenate(picked).reshape(-1)
             out, _ = windows(net, flat)
+            out[:, 1 - WIDTH // STRIDE :] = -np.inf  # what follows a chunk here isn't its text
             best = out.argmax(1)
             top = np.take_along_axis(out, best[:, None, :], 1)[:, 0] + net.bias
             act = np.maximum(top, 0)
