@@ -36,55 +36,100 @@ def _at_path(value: Column, steps: list[str], leaf) -> Column:
     return changed.otherwise(value)
 
 
-def set_field(data: Column, name: str, value: Any) -> Column:
-    """A plain name creates or overwrites; a dotted one overwrites what exists, only."""
-    if "." not in name:
-        return V.with_member(data, name, V.literal(value))
-    return _at_path(data, name.split("."), lambda obj, last: V.with_member(obj, last, V.literal(value)))
+Step = Callable[[Column], Column]
 
 
-def unset_field(data: Column, name: str) -> Column:
-    if "." not in name:
-        return V.without_member(data, name)
-    return _at_path(data, name.split("."), lambda obj, last: V.without_member(obj, last))
+def _put(members: Column, new: dict[str, Column]) -> Column:
+    """The members with some set."""
+    others = F.map_filter(members, lambda k, _: ~k.isin(*new))
+    return F.map_concat(others, F.create_map(*(x for name, v in new.items() for x in (F.lit(name), v))))
 
 
-def push_field(data: Column, name: str, value: Any) -> Column:
+def _drop(members: Column, names: list[str]) -> Column:
+    return F.map_filter(members, lambda k, _: ~k.isin(*names))
+
+
+def _inside(members: Column, path: str, leaf) -> Column:
+    """Changes below a member; a missing one changes nothing."""
+    first, *rest = path.split(".")
+    member = F.element_at(members, first)
+    return F.when(member.isNull(), members).otherwise(_put(members, {first: V.let(member, lambda m: _at_path(m, rest, leaf))}))
+
+
+def _set_below(path: str, value: Any) -> Step:
+    """A dotted name overwrites what exists, only."""
+    return lambda m: _inside(m, path, lambda obj, last: V.with_member(obj, last, V.literal(value)))
+
+
+def _unset_below(path: str) -> Step:
+    return lambda m: _inside(m, path, lambda obj, last: V.without_member(obj, last))
+
+
+def _push(name: str, value: Any) -> Step:
     """Appends to an array; makes an array of another value and the new one; a missing
     field becomes the value itself."""
-    old, new = V.get(data, name), V.literal(value)
-    appended = V.pack(F.array_append(V.as_array(old), new))
-    return F.when(old.isNull(), V.with_member(data, name, new)).when(V.is_array(old), V.with_member(data, name, appended)).otherwise(V.with_member(data, name, V.pack(F.array(old, new))))
 
+    def step(m: Column) -> Column:
+        new = V.literal(value)
+        added = lambda old: F.when(old.isNull(), new).when(V.is_array(old), V.pack(F.array_append(V.as_array(old), new))).otherwise(V.pack(F.array(old, new)))
+        return _put(m, {name: V.let(F.element_at(m, name), added)})
+
+    return step
 
-def pull_field(data: Column, name: str, value: Any) -> Column:
+
+def _pull(name: str, value: Any) -> Step:
     """Removes all equal elements of an array; another value is erased if equal and
     overwritten if not; a missing field stays missing."""
-    old = V.get(data, name)
-    kept = V.pack(F.filter(V.as_array(old), lambda x: ~V.equals(x, value)))
-    return F.when(old.isNull(), data).when(V.is_array(old), V.with_member(data, name, kept)).when(V.equals(old, value), V.without_member(data, name)).otherwise(V.with_member(data, name, V.literal(value)))
 
+    def step(m: Column) -> Column:
+        old = F.element_at(m, name)
+        kept = V.let(old, lambda o: V.pack(F.filter(V.as_array(o), lambda x: ~V.equals(x, value))))
+        return F.when(old.isNull(), m).when(V.is_array(old), _put(m, {name: kept})).when(V.equals(old, value), _drop(m, [name])).otherwise(_put(m, {name: V.literal(value)}))
 
-_APPLY = {
-    "$pull": lambda data, name, value: pull_field(data, name, value),
-    "$push": lambda data, name, value: push_field(data, name, value),
-    "$set": lambda data, name, value: set_field(data, name, value),
-    "$unset": lambda data, name, value: unset_field(data, name),
-}
+    return step
 
 
-def _step(op: str, name: str, value: Any) -> Callable[[Column], Column]:
-    return lambda data: _APPLY[op](data, name, value)
+def _steps(update: dict) -> list[Step]:
+    """Plain names set or unset next to each other make one step."""
+    steps: list[Step] = []
+    for op in OPERATORS:
+        body = update.get(op, {})
+        if not isinstance(body, dict):
+            raise QuarryError(Code.INVALID_ARGUMENT, f"{op} takes an object")
+        plain = sorted(n for n in body if "." not in n)
+        dotted = sorted(n for n in body if "." in n)
+        if op == "$pull":
+            steps += [_pull(n, body[n]) for n in sorted(body)]
+        elif op == "$push":
+            steps += [_push(n, body[n]) for n in sorted(body)]
+        elif op == "$set":
+            # in order of names: a plain name comes before the dotted ones below it
+            if plain:
+                steps.append(lambda m, names=plain, b=body: _put(m, {n: V.literal(b[n]) for n in names}))
+            steps += [_set_below(n, body[n]) for n in dotted]
+        else:
+            if plain:
+                steps.append(lambda m, names=plain: _drop(m, names))
+            steps += [_unset_below(n) for n in dotted]
+    return steps
 
 
 def compile_update(data: Column, update: Any) -> Column:
-    """The updated document; unknown operators are ignored."""
+    """The updated document; unknown operators are ignored.
+
+    The document is opened into its members once, whatever the number of operators, and what
+    isn't an object stays as it is.
+    """
     if not isinstance(update, dict):
         raise QuarryError(Code.INVALID_ARGUMENT, "an update is an object")
-    for op in OPERATORS:
-        body = update.get(op, {})
-        if not isinstance(body, dict):
-            raise QuarryError(Code.INVALID_ARGUMENT, f"{op} takes an object")
-        for name in sorted(body):
-            data = V.let(data, _step(op, name, body[name]))
-    return data
+    steps = _steps(update)
+    if not steps:
+        return data
+    members = V.as_map(data)
+    for step in steps:
+        members = _bound(members, step)
+    return F.coalesce(V.pack(members), data)
+
+
+def _bound(members: Column, step: Step) -> Column:
+    return V.let(members, lambda m: step(m))

@@ -74,15 +74,16 @@ class VariantFields:
         kind = variants.kind_of(own)
         if value is None:
             return F.coalesce(F.is_variant_null(own), F.lit(False))
+        # the value is compared first: naming a value's type is dearer, and few values get so far
         if isinstance(value, bool):
-            return (kind == "BOOLEAN") & _apply(op, self._as(field, "boolean"), F.lit(value))
+            return _apply(op, self._as(field, "boolean"), F.lit(value)) & (kind == "BOOLEAN")
         if isinstance(value, str):
-            return (kind == "STRING") & _apply(op, self._as(field, "string"), F.lit(value))
-        # the double comes first: it alone can reach the scan
-        if isinstance(value, int) and abs(value) < 1 << 63:
-            exact = (kind == "BIGINT") & _apply(op, self._as(field, "bigint"), F.lit(value).cast("bigint"))
-            return exact | ((kind != "BIGINT") & variants.is_number(own) & _apply(op, self._as(field, "double"), F.lit(float(value))))
-        return variants.is_number(own) & _apply(op, self._as(field, "double"), F.lit(float(value)))
+            return _apply(op, self._as(field, "string"), F.lit(value)) & (kind == "STRING")
+        if isinstance(value, float) or abs(value) < 1 << 53:  # a double tells all integers from such a literal
+            return _apply(op, self._as(field, "double"), F.lit(float(value))) & variants.is_number(own)
+        integers = (kind == "BIGINT") & _apply(op, self._as(field, "bigint"), F.lit(value).cast("bigint")) if abs(value) < 1 << 63 else F.lit(False)
+        others = (kind != "BIGINT") if abs(value) < 1 << 63 else F.lit(True)
+        return integers | (others & variants.is_number(own) & _apply(op, self._as(field, "double"), F.lit(float(value))))
 
     def present(self, field: str) -> Column:
         return variants.get(self.data, field).isNotNull()
