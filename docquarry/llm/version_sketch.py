@@ -1,13 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, by column
 expressions alone.
 
-A fingerprint has CELLS cells.  Every distinct paragraph (a line that isn't empty) adds its
-64-bit digest to one cell of each of TABLES tables: a cell keeps how many came, the XOR of
-their digests and the XOR of their checks.  Subtracting two versions' cells cancels what they share;
-peeling then recovers the digests of the paragraphs that only one of them has, from cells that hold
-one alone.  Where the differences are too many for the cells, the sketch is retried larger: the
-paragraphs are dealt over as many sketches as their number asks for, and each that fails is
-retried larger again, with other hashes.
+A fingerprint has CELLS cells.  Every distinct paragraph adds its 64-bit digest to one cell of each
+of TABLES tables: a cell keeps how many came, the XOR of their digests and the XOR of their checks.
+A paragraph is a line that isn't empty; a long line counts as several, each of PIECE characters from
+its start.  Subtracting two versions' cells cancels what they share; peeling then recovers the digests
+of the paragraphs that only one of them has, from cells that hold one alone.  Where the differences
+are too many for the cells, the sketch is retried larger: the paragraphs are dealt over as many
+sketches as their number asks for, and each that fails is retried larger again, with other hashes.
 
 Likeness is the share of common paragraphs among all of two versions, 1 for two without any.
 Null texts count as empty.  Rows alike in id and text are one document with one
@@ -23,6 +23,8 @@ from docquarry.llm.common import ensure_checkpoint_dir, let, numbered
 
 TABLES, PLACES = 4, 8
 CELLS = TABLES * PLACES
+#: Characters of a paragraph at most.
+PIECE = 192
 #: Paragraphs for one sketch when it is retried, rounds of peeling, rounds of retrying.
 LOAD, ROUNDS, RETRIES = 8, CELLS, 16
 _CELL = "struct<n:int,k:bigint,x:bigint>"
@@ -31,8 +33,8 @@ _BITS = [1 << i for i in range(CELLS)]
 
 def digests(text: Column) -> Column:
     """array<long>: the distinct paragraphs' digests."""
-    lines = F.filter(F.split(text, "\n"), lambda p: p != "")
-    return F.array_distinct(F.transform(lines, lambda p: F.xxhash64(p)))
+    pieces = F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PIECE}}}"), F.lit(0))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def _item(digest: Column, seed: Column) -> Column:

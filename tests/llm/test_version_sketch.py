@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from docquarry.llm import version_sketch as vs
 
 
 def paragraphs(text):
-    return {p for p in text.split("\n") if p}
+    return set(re.findall(r"[^\n]{1,192}", text))
 
 
 def jaccard(a, b):
