@@ -1,14 +1,19 @@
-"""Random queries over documents of mixed types against a plain evaluator."""
+"""Random queries and updates over documents of mixed types against plain evaluators."""
 
+import copy
 import random
 
+import pytest
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from docquarry.document import Document, same
 from docquarry.functions import variants as V
 from docquarry.operators.find import DocumentView
 from docquarry.operators.update import compile_update
 from docquarry.plans.query import parse
+from docquarry.status import QuarryError
 
 VALUES = [None, True, False, 0, 1, 5, -3, 2.5, 1.0, -0.5, 1e300, 2**53 + 1, 2**60, "", "a", "ab", "5", "true", "é"]
 FIELDS = ["f", "g", "a.b"]
@@ -75,31 +80,16 @@ def test_find(spark, queries):
     assert [sorted(g) for g in got] == [evaluate(q) for q in queries]
 
 
-def equal(a, b):
-    return family(a) == family(b) and a == b if not isinstance(a, (dict, list)) and not isinstance(b, (dict, list)) else a == b
-
-
 def updated(doc, update):
-    doc = dict(doc)
-    for f, v in sorted(update.get("$pull", {}).items()):
-        if isinstance(doc.get(f), list):
-            doc[f] = [x for x in doc[f] if not equal(x, v)]
-        elif f in doc:
-            if equal(doc[f], v):
-                del doc[f]
-            else:
-                doc[f] = v
-    for f, v in sorted(update.get("$push", {}).items()):
-        doc[f] = v if f not in doc else [*doc[f], v] if isinstance(doc[f], list) else [doc[f], v]
-    doc |= update.get("$set", {})
-    for f in update.get("$unset", {}):
-        doc.pop(f, None)
-    return doc
+    own = Document("x", copy.deepcopy(doc))
+    own.apply_update(update)
+    return own.data
 
 
 field = st.sampled_from(["f", "g", "h"])
+target = st.sampled_from(["f", "g", "h", "n.x", "n.y.z", "n.list.1.q", "n.list.0", "f.x", "h.3.x", "n.none.x"])
 scalar = st.sampled_from([v for v in VALUES if v != 1e300 and v != 2**60 and v != 2**53 + 1])
-update = st.fixed_dictionaries({}, optional={"$pull": st.dictionaries(field, scalar, max_size=2), "$push": st.dictionaries(field, scalar, max_size=2), "$set": st.dictionaries(field, scalar, max_size=2), "$unset": st.dictionaries(field, st.just(""), max_size=1)})
+update = st.fixed_dictionaries({}, optional={"$pull": st.dictionaries(field, scalar, max_size=2), "$push": st.dictionaries(field, scalar, max_size=2), "$set": st.dictionaries(target, scalar, max_size=2), "$unset": st.dictionaries(target, st.just(""), max_size=2)})
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
@@ -107,7 +97,7 @@ update = st.fixed_dictionaries({}, optional={"$pull": st.dictionaries(field, sca
 def test_update(spark, changes):
     from pyspark.sql import functions as F
 
-    docs = [(i, d | {"h": [d.get("f"), 1, "a", True]}) for i, d in DOCUMENTS[:25]]
+    docs = [(i, d | {"h": [d.get("f"), 1, "a", True], "n": {"x": d.get("g"), "y": {"z": 1}, "list": [5, {"q": 2}]}}) for i, d in DOCUMENTS[:25]]
     frame = spark.createDataFrame([(i, V.encode(d)) for i, d in docs], "_id string, text string").selectExpr("_id", "parse_json(text) AS data")
     rows = frame.select("_id", *(compile_update(F.col("data"), c).alias(f"c{k}") for k, c in enumerate(changes))).collect()
     for r in rows:
@@ -118,3 +108,16 @@ def test_update(spark, changes):
 def test_parse_keeps_the_order_of_names():
     tree = parse({"$orderBy": {"f": "asc"}, "$eq": {"f": 1}, "$and": [{"$eq": {"f": 1}}]}, {"f"})
     assert [type(n).__name__ for _, n in tree.nodes] == ["All", "Cmp", "OrderBy"] and [p for p, _ in tree.nodes] == [0, 1, 2]
+
+
+def test_document_on_the_driver():
+    own = Document.from_json("d", '{"b": 1, "a": [1, {"x": null}]}')
+    assert own.has_field("a") and own.get_value("b") == 1 and own.to_json() == '{"a": [1, {"x": null}], "b": 1}'
+    own.set_value("b", 2)
+    assert own.get_value("b") == 2
+    with pytest.raises(QuarryError):
+        own.get_value("none")
+    for text in ("[1]", "{"):
+        with pytest.raises(QuarryError):
+            Document.from_json("d", text)
+    assert same({"a": [1, 2.0]}, {"a": [1.0, 2]}) and not same(True, 1) and not same([1], [1, 2])
