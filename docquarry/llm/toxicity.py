@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ from docquarry.llm.common import prepare_workers
 LABEL_ROWS, MAX_FEATURES, MAX_FIT_CHARS = 8000, 2_000, 200_000
 #: Deviations by which a feature's share must differ between toxic and clean texts.
 Z_LEAST = 5.0
+#: Hashes by which features are counted before they are held by name.
+BINS = 1 << 21
 PREFIXES = (4, 5)
 GRADES = 4
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -110,31 +113,42 @@ def _fit(rows: list[np.ndarray], grades: np.ndarray, n: int, levels: int, rounds
     return params[:n], params[n] + np.concatenate([[0.0], np.cumsum(np.exp(params[n + 1 :]))])
 
 
-def evident(found: list[set[str]], toxic: np.ndarray, most: int) -> list[str]:
+def _deviations(k1, k0, n1: int, n0: int):
+    """By how many deviations a feature's shares of toxic and clean texts differ."""
+    share = (k1 + k0 + 1) / (n1 + n0 + 2)
+    return (k1 / n1 - k0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+
+
+def evident(texts: list[str], toxic: np.ndarray, most: int) -> tuple[list[str], list[list[str]]]:
     """Features whose share of toxic texts differs from that of clean ones by more than
-    Z_LEAST deviations, in at least 3 texts; the most telling first."""
-    counts = [Counter(), Counter()]
-    for fs, y in zip(found, toxic.tolist(), strict=True):
-        counts[y].update(fs)
+    Z_LEAST deviations, in at least 3 texts, the most telling first; and those of every text.
+
+    The first pass counts features by hash, so that only those that can be telling are ever
+    held by name; the second counts these exactly.
+    """
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
+    counts = np.zeros((2, BINS), np.int32)
+    for text, y in zip(texts, toxic.tolist(), strict=True):
+        counts[y][np.unique(np.fromiter((zlib.crc32(f.encode()) % BINS for f in features(text)), np.int64))] += 1
+    able = (counts.sum(0) > 2) & (np.abs(_deviations(counts[1], counts[0], n1, n0)) > Z_LEAST)
+    found = [[f for f in features(text) if able[zlib.crc32(f.encode()) % BINS]] for text in texts]
+    exact = [Counter(), Counter()]
+    for fs, y in zip(found, toxic.tolist(), strict=True):
+        exact[y].update(fs)
     telling = []
-    for f in counts[0].keys() | counts[1].keys():
-        k1, k0 = counts[1][f], counts[0][f]
-        if k1 + k0 > 2:
-            share = (k1 + k0 + 1) / (n1 + n0 + 2)
-            z = (k1 / n1 - k0 / n0) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-            if abs(z) > Z_LEAST:
-                telling.append((-abs(z), f))
-    return [f for _, f in sorted(telling)[:most]]
+    for f in exact[0].keys() | exact[1].keys():
+        z = abs(float(_deviations(exact[1][f], exact[0][f], n1, n0)))
+        if z > Z_LEAST and exact[1][f] + exact[0][f] > 2:
+            telling.append((-z, f))
+    return [f for _, f in sorted(telling)[:most]], found
 
 
 def train(texts: list[str], toxic: np.ndarray, max_features: int = MAX_FEATURES, rounds: int = 150, l2: float = 1e-4) -> OrdinalModel:
     """Fits grades made from 0/1 labels; without both labels no feature has weight."""
     if len(texts) == 0 or len(set(toxic.tolist())) < 2:
         return OrdinalModel({}, [3.0, 4.0, 5.0])
-    found = [features(t) for t in texts]
-    kept = evident(found, toxic, max_features)
+    kept, found = evident(texts, toxic, max_features)
     place = {f: i for i, f in enumerate(kept)}
     rows = [np.array(sorted(place[f] for f in fs if f in place), np.int64) for fs in found]
     w, _ = _fit(rows, toxic, len(kept), 2, rounds, l2)
