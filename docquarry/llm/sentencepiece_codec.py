@@ -36,7 +36,7 @@ from docquarry.llm.common import prepare_workers
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Words kept in a worker's memo; when full it is emptied.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 #: Characters of text whose words are learnt together.
 LEARN_CHARS = 1_000_000
 
