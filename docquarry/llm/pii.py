@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-# -- transducers -----------------------------------------------------------
+# -- transducers --
 
 
 @dataclass

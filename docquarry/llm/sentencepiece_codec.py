@@ -115,7 +115,7 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
-    # -- normalisation ----------------------------------------------------
+    # -- normalisation --
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text and, for each of its bytes and its end, the source byte."""
@@ -155,7 +155,7 @@ class Codec:
                 del out[-3:], source[-3:]
         return out.decode(), np.array([*source, end], np.int64)
 
-    # -- merging -----------------------------------------------------------
+    # -- merging --
 
     def merge(self, word: str) -> list[int]:
         """BPE of one marked word: the best-scored pair first, leftmost on ties."""
@@ -192,7 +192,7 @@ class Codec:
                 ids.append(self.unk)
         return ids
 
-    # -- whole texts ---------------------------------------------------------
+    # -- whole texts --
 
     def learn(self, words: set[str]) -> None:
         """Puts the ids of words into the memo, as the raw bytes that are joined

@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", shin
     return docs.select(*carry, text_col).mapInArrow(run, schema).toDF(*carry, "fp")
 
 
-# -- the index ---------------------------------------------------------------
+# -- the index --
 
 
 def gray_rank(byte: np.ndarray) -> np.ndarray:
