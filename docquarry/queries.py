@@ -65,7 +65,7 @@ def _register(name: str, run: Query, sql: str | None) -> None:
         ORACLE_SQL[name] = sql
 
 
-# -- predicates ------------------------------------------------------------------
+# -- predicates --
 
 
 def _find(name: str, source: str, query: Any, columns: list[str], where: str) -> None:
@@ -121,7 +121,7 @@ _several("eq_then_orderby_concat", "part", {"$eq": {"p_size": 7}, "$orderBy": {"
 _several("and_or_concat", "orders", {"$or": [{"$eq": {"o_orderstatus": "P"}}], "$and": [{"$eq": {"o_orderstatus": "F"}}]}, "o_orderstatus", ["o_orderstatus = 'F'", "o_orderstatus = 'P'"])
 
 
-# -- order -----------------------------------------------------------------------
+# -- order --
 
 
 def _ordered(name: str, source: str, query: Any, column: str, where: str, order: str) -> None:
@@ -147,7 +147,7 @@ _register(
 )
 
 
-# -- documents as VARIANT ----------------------------------------------------------
+# -- documents as VARIANT --
 
 
 def _variant(name: str, query: Any, where: str) -> None:
@@ -168,7 +168,7 @@ _variant("variant_or", {"$or": [{"$eq": {"k": 4}}, {"$gt": {"value": 95.0}}]}, "
 _variant("orderby_missing_excluded", {"$orderBy": {"k": "asc"}}, "k IS NOT NULL")
 
 
-# -- reads ---------------------------------------------------------------------------
+# -- reads --
 
 
 def _read(name: str, run: Callable[[DocumentView], DataFrame], tail: str) -> None:
@@ -187,7 +187,7 @@ _read("scan_all", lambda v: v.scan(None), "")
 _read("cursor_seek", lambda v: v.scan(20, "123"), "WHERE CAST(o_orderkey AS VARCHAR) >= '123' ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 20")
 
 
-# -- updates ---------------------------------------------------------------------------
+# -- updates --
 
 _EVENTS = "SELECT CAST(event_id AS VARCHAR) AS _id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS pk FROM events"
 
@@ -233,7 +233,7 @@ _update(
 )
 
 
-# -- the store -------------------------------------------------------------------------------
+# -- the store --
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -338,7 +338,7 @@ _register("list_collections", _list_collections, "SELECT * FROM (VALUES ('orders
 _register("list_indexes", _list_indexes, "SELECT * FROM (VALUES ('users', 'age'), ('users', 'name')) AS t(collection, field)")
 
 
-# -- commands ----------------------------------------------------------------------------------
+# -- commands --
 
 
 def _cmd_find(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +386,7 @@ _register(
 )
 
 
-# -- the mixed load -------------------------------------------------------------------------------
+# -- the mixed load --
 
 STRESS: list[Any] = [
     {"$orderBy": {"o_totalprice": "desc"}},

@@ -39,7 +39,7 @@ class Collection:
         self.lock = threading.RLock()
         self.last_status = OK
 
-    # -- manifest -----------------------------------------------------------
+    # -- manifest --
 
     def _manifest(self) -> dict:
         path = f"{self.path}/manifest.json"
@@ -55,7 +55,7 @@ class Collection:
         self.files.make(self.path)
         self._swap({"version": 0, "base": None, "changes": [], "indexes": [], "batches": []})
 
-    # -- reading --------------------------------------------------------------
+    # -- reading --
 
     def _part(self, name: str) -> DataFrame:
         return self.spark.read.schema(_PART).parquet(f"{self.path}/{name}")
@@ -106,7 +106,7 @@ class Collection:
     def cursor(self) -> Cursor:
         return Cursor(self.frame())
 
-    # -- writing ----------------------------------------------------------------
+    # -- writing --
 
     def _commit(self, rows: DataFrame, batch: str | None = None) -> None:
         """Adds a part of changes (_id, data, deleted), one row for an id."""
@@ -200,7 +200,7 @@ class Collection:
     def _updated(self, rows: DataFrame, update: Any) -> DataFrame:
         return rows.select("_id", compile_update(F.col("data"), update).alias("data"), F.lit(False).alias("deleted"))
 
-    # -- indexes -------------------------------------------------------------------
+    # -- indexes --
 
     def index_names(self) -> list[str]:
         return sorted(self._manifest()["indexes"])

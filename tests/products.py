@@ -17,4 +17,4 @@ PRODUCTS = {
     "prod013": {"name": "Guitar", "price": 349.99, "stock": 15, "category": "Musical Instruments", "rating": 4.7, "available": True, "brand": "String"},
     "prod014": {"name": "Protein Powder", "price": 45.99, "stock": 80, "category": "Health", "rating": 4.6, "available": True, "brand": "Strong"},
 }
-INDEXED = ("price", "stock", "category", "rating", "available", "name")
+INDEXED = ("available", "category", "name", "price", "rating", "stock")
