@@ -179,4 +179,4 @@ def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, severity double, grade int, toxic int")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "severity", "grade", "toxic")
+    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "severity", "grade", "toxic")
