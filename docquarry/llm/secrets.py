@@ -2,9 +2,10 @@
 
 Base findings are assignments of secret-looking names, access key ids and long hexadecimal
 runs.  Beside them stand weak candidates that prove nothing alone: account or client
-identifiers, random-looking strings and endpoints.  A text is cut into scopes, runs of up to SCOPE_LINES
-lines that aren't blank; the parts' intervals are joined to the scope that holds them, and a weak
-candidate is reported only where its complement lies in the same scope:
+identifiers, random-looking strings and endpoints.  Every part's interval is found once in the whole
+text, with its line; two parts are linked where they lie within SCOPE_LINES lines, both lines
+counted, with no blank line between, wherever in the text that is.  A weak candidate is reported
+only where its complement is linked:
 
 * ``weak_secret`` beside an identifier (weak or an access key) or an endpoint,
 * ``weak_id`` beside a secret (weak or base),
@@ -32,8 +33,10 @@ HEX = r"[0-9a-f]{24,}"
 WEAK_ID = r"""(?<![A-Za-z0-9])(?i:(?:client|app|application|user|account|tenant|project|access_?key|key)[_-]?(?:id|name)|login|username)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9._@-]{2,127}"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[a-zA-Z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}"
 ENDPOINT = r"""(?i:https?|wss?|jdbc:[a-z]+|amqps?|redis|mongodb|postgres(?:ql)?|mysql|s3)://[^\x20\x09-\x0D"'<>]+|(?i:endpoint|host|hostname|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:/_-]{2,255}"""
-SCOPE = r"(?:[^\n]*[^\x20\t\r\n][^\n]*(?:\n|$)){1,%d}|[\x20\t\r]*(?:\n[\x20\t\r]*)+|[\x20\t\r]+" % SCOPE_LINES
+_BLANK_LINE = r"\n[\x20\t\r]*(?=\n)"
 _SPAN = "array<struct<start:int,end:int>>"
+_PART = "array<struct<at:int,start:int,order:int,end:int>>"
+_LINKED = "array<struct<start:int,order:int,end:int>>"
 
 
 def _empty() -> Column:
@@ -79,37 +82,70 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def linked_spans(text: Column) -> Column:
-    """array<struct<start,order,end>>: weak candidates whose complements share their scope."""
+def _placed_parts(text: Column, pattern: str, order: int) -> Column:
+    """Spans of the matches with their place: lines before, and SCOPE_LINES more for each blank
+    line, so that parts with a blank line between are never within reach."""
+
+    def placed(matches: Column) -> Column:
+        def walk(parts: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                piece = parts["pieces"][i]
+                start = acc["upto"] + F.length(piece)
+                end = start + F.length(parts["matches"][i])
+                lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+                at = acc["at"] + F.when(lines > 1, lines + SCOPE_LINES * F.regexp_count(piece, F.lit(_BLANK_LINE))).otherwise(lines)
+                one = F.array(F.struct(at.alias("at"), start.alias("start"), F.lit(order).alias("order"), end.alias("end"))).cast(_PART)
+                return F.struct(at.alias("at"), end.alias("upto"), F.concat(acc["out"], one).alias("out"))
+
+            zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("upto"), F.array().cast(_PART).alias("out"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(parts["matches"]) - 1), zero, step, lambda acc: acc["out"])
 
-    def inside(scope: Column) -> Column:
-        words = scope["text"]
-        identifier = words.rlike(ACCESS) | words.rlike(WEAK_ID)
-        secret = words.rlike(HEX) | words.rlike(WEAK_SECRET) | words.rlike(ASSIGN.replace("]+)", "]{6,})"))
-        endpoint = words.rlike(ENDPOINT)
+        return let(F.struct(matches.alias("matches"), F.split(text, pattern, -1).alias("pieces")), walk)
 
-        def shifted(pattern: str, order: int) -> Column:
-            return F.transform(match_spans(words, pattern), lambda s: F.struct((s["start"] + scope["at"]).alias("start"), F.lit(order).alias("order"), (s["end"] + scope["at"]).alias("end")))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(_PART)))
 
-        none = F.array().cast("array<struct<start:int,order:int,end:int>>")
-        return let(
-            F.struct(identifier.alias("i"), secret.alias("s"), endpoint.alias("e")),
-            lambda f: F.concat(F.when(f["s"], shifted(WEAK_ID, 3)).otherwise(none), F.when(f["i"] | f["e"], shifted(WEAK_SECRET, 4)).otherwise(none), F.when(f["i"] & f["s"], shifted(ENDPOINT, 5)).otherwise(none)),
-        )
 
-    def scopes(pieces: Column) -> Column:
-        kind = "array<struct<at:int,text:string>>"
+def _passed(parts: Column, sign: int) -> Column:
+    """The parts with whether an identifier, a secret and an endpoint come within reach on
+    one side: before them in the given order, or with sign -1 in a reversed one."""
+    far = -sign * (1 << 30)
+
+    def step(acc: Column, p: Column) -> Column:
+        last = {k: F.when(p["order"].isin(*orders), p["at"]).otherwise(acc[k]) for k, orders in (("i", (1, 3)), ("s", (0, 2, 4)), ("e", (5,)))}
+
+        def near(k: str) -> Column:
+            return (sign * (p["at"] - acc[k]) < SCOPE_LINES).alias(k)
+
+        one = F.array(F.struct(p.alias("part"), near("i"), near("s"), near("e"))).cast(kind)
+        return F.struct(*(v.alias(k) for k, v in last.items()), F.concat(acc["out"], one).alias("out"))
+
+    kind = "array<struct<part:struct<at:int,start:int,order:int,end:int>,i:boolean,s:boolean,e:boolean>>"
+    zero = F.struct(*(F.lit(far).alias(k) for k in "ise"), F.array().cast(kind).alias("out"))
+    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+
+
+def linked_spans(text: Column) -> Column:
+    """array<struct<start,order,end>>: weak candidates whose complements lie within reach."""
+    patterns = (ASSIGN.replace("]+)", "]{6,})"), ACCESS, HEX, WEAK_ID, WEAK_SECRET, ENDPOINT)
+
+    def linked(parts: Column) -> Column:
+        def both(x: Column) -> Column:
+            def side(p: Column, q: Column) -> Column:
+                i, s, e = (p[k] | q[k] for k in "ise")
+                order = p["part"]["order"]
+                kept = F.when(order == 3, s).when(order == 4, i | e).when(order == 5, i & s).otherwise(False)
+                return F.struct(kept.alias("kept"), p["part"]["start"].alias("start"), order.alias("order"), p["part"]["end"].alias("end"))
 
-        def step(acc: Column, piece: Column) -> Column:
-            one = F.array(F.struct(acc["at"].alias("at"), piece.alias("text"))).cast(kind)
-            return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], one).alias("out"))
+            return F.zip_with(x["before"], F.reverse(x["after"]), side)
 
-        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+        sides = F.struct(_passed(parts, 1).alias("before"), _passed(F.reverse(parts), -1).alias("after"))
+        kept = F.filter(let(sides, both), lambda p: p["kept"])
+        return F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["order"].alias("order"), p["end"].alias("end")))
 
-    found = F.flatten(F.transform(scopes(F.regexp_extract_all(text, F.lit(SCOPE), F.lit(0))), inside))
+    parts = F.array_sort(F.concat(*(_placed_parts(text, pattern, k) for k, pattern in enumerate(patterns))))
     # every link needs an identifier or an endpoint, and these a sign of assignment or an access key
     possible = text.contains("AKIA") | (_assigns(text) & (text.rlike(WEAK_ID) | text.rlike(ENDPOINT)))
-    return F.when(possible, found).otherwise(F.array().cast("array<struct<start:int,order:int,end:int>>"))
+    return F.when(possible, let(parts, linked).cast(_LINKED)).otherwise(F.array().cast(_LINKED))
 
 
 def _shown(spans: Column) -> Column:
