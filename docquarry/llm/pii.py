@@ -144,6 +144,10 @@ _ITEM = rf"(?:\b{_WORD}\b|[0-9]+)"
 _SPELLED = re.compile(rf"(?:(?:\+|\bplus\b)[ ]?)?(?<![^\W_]){_ITEM}(?:[ ,.()/\n-]{{1,3}}{_ITEM}){{3,}}+", re.I)
 _BREAKS = str.maketrans(dict.fromkeys(",.()/-+\n\t", " "))
 _TLD = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|de|fr|es|uk|us|eu|ch|at|it|nl|ru|example|test)"
+#: Endings of countries that are no words of the four languages.
+_COUNTRY = "(?:" + "|".join("ac ae af ag ao aq ar ax az ba bb bd bf bg bh bi bj bm bn br bs bt bw bz ca cc cd cf cg ck cl cm cn cr cu cv cw cx cy cz dj dk dm dz ec ee eg er et fi fj fk fm fo ga gb gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hm hn hr ht hu id ie il iq ir je jm jo jp ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lv ly mc md mg mh mk ml mm mn mo mp mq mr ms mt mv mw mx mz nc nf ng ni np nr nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa ro rs rw sb sc sd sg sh si sj sk sl sm sn sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tw tz ua ug uy uz va vc vg vi vn vu wf ws ye yt za zm zw".split()) + ")"
+#: Words before "dot" in a sentence that are no host: "look at the dot there".
+_NO_HOST = frozenset("a an the this that these those which what any some each every one no another my your his her its our their".split())
 _AT_WORD, _DOT_WORD = "(?:at|arroba|arobase|klammeraffe)", "(?:dot|punkt|point|punto|period)"
 _BRACKET_AT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*|[ \t]*[_*-]+{_AT_WORD}[_*-]+[ \t]*", re.I)
 _BRACKET_DOT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_DOT_WORD}|\.)[ \t]*[\])}}>][ \t]*|[ \t]*[_*-]+{_DOT_WORD}[_*-]+[ \t]*", re.I)
@@ -151,7 +155,15 @@ _SPACED_AT = re.compile(r"[ \t]+@[ \t]*|[ \t]*@[ \t]+")
 # "name at host dot tld": the whole shape is asked for, words alone mean nothing.
 _WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}+(?:[ \t]+{_DOT_WORD}[ \t]+[A-Za-z0-9_%+-]{{1,64}}+){{0,3}})(?:[ \t]+{_AT_WORD}[ \t]+|@)([A-Za-z0-9-]{{1,63}}+)((?:(?:[ \t]+{_DOT_WORD}[ \t]+|\.)[A-Za-z0-9-]{{1,63}}+){{1,5}})(?![A-Za-z0-9-])", re.I)
 _DOT_SPLIT = re.compile(rf"[ \t]+{_DOT_WORD}[ \t]+", re.I)
-_ENDS_IN_TLD = re.compile(rf"(?:\.|[ \t]){_TLD}$", re.I)
+_ENDS_IN_TLD = re.compile(rf"(?:\.|[ \t])(?:{_TLD}|{_COUNTRY})$", re.I)
+_ENDING = re.compile(r"(?:\.|[ \t])[a-z]{2,24}$", re.I)
+_PLAIN_AT = re.compile(r"[ \t]at[ \t]", re.I)
+_POINT = re.compile(r"[ \t](?:point|punto|period)[ \t]", re.I)
+# "192 dot 168 dot 1 dot 10", each number in figures or in spelled digits
+_ONE = rf"(?:\b{_WORD}\b|[0-9](?![0-9]))"
+_GROUP = rf"[0-9]++|{_ONE}(?:[ -]{_ONE}){{0,2}}+"
+_WORDED_IP = re.compile(rf"(?<![^\W_])(?:{_GROUP})(?:(?:[ \t]+{_DOT_WORD}[ \t]+|[ \t]*\.[ \t]*)(?:{_GROUP})){{3}}(?![^\W_])", re.I)
+_WORDED_DOT = re.compile(rf"(?<=[0-9])[ \t]+{_DOT_WORD}[ \t]+(?=[0-9])", re.I)
 _HINTS = tuple("dot punkt point punto period".split())
 _AT_HINTS = ("[at]", "(at)", "{at}", "<at>", "[@]", "(@)", "arroba", "arobase", "klammeraffe", "_at_", "-at-", "*at*", "[ at ]", "( at )", "{ at }", " @", "@ ")
 
@@ -169,11 +181,22 @@ def _worded(m: re.Match) -> str | None:
     plain_dots, plain_at = "." in m[3] and not _DOT_SPLIT.search(m[3]), "@" in m[0]
     if plain_dots and plain_at:
         return None
-    if not _ENDS_IN_TLD.search(m[3]) and (plain_dots or not plain_at):
-        return None
+    if not plain_at and not _ENDS_IN_TLD.search(m[3]):
+        # words for both the at and a dot tell enough, but for "at one point in time"
+        sentence = _PLAIN_AT.search(m[0]) and (m[2].lower() in _NO_HOST or _POINT.search(m[3]))
+        if plain_dots or sentence or not _ENDING.search(m[3]):
+            return None
     return _DOT_SPLIT.sub(".", m[1]) + "@" + m[2] + _DOT_SPLIT.sub(".", m[3])
 
 
+def _worded_ip(m: re.Match) -> str | None:
+    """Figures and dots of four numbers; left alone where nothing is in words."""
+    if not re.search(r"[^\W\d_]", m[0]):
+        return None
+    parts = [re.findall(r"[^\W\d_]+|[0-9]+", p) for p in re.split(rf"[ \t]+{_DOT_WORD}[ \t]+|\.", m[0].lower())]
+    return ".".join("".join(DIGIT_WORDS.get(w, w) for w in words) for words in parts)
+
+
 def hidden_spans(text: str) -> list[Span]:
     """Disguised identifiers, as spans of the source text."""
     glyphs = not text.isascii() and not _GLYPH_CHARS.isdisjoint(text)
@@ -181,7 +204,7 @@ def hidden_spans(text: str) -> list[Span]:
     at_dot = any(h in low for h in _AT_HINTS) or any(h in low for h in _HINTS)
     spelled = sum(w in low for w in DIGIT_WORDS) > 1 and len(DIGIT_WORDS.keys() & set(low.translate(_BREAKS).split())) > 1
     # " at " before a host is a disguise only with a known ending
-    at_host = " at " in low and re.search(rf" at [a-z0-9-]+\.(?:[a-z0-9-]+\.)*{_TLD}\b", low) is not None
+    at_host = " at " in low and re.search(rf" at [a-z0-9-]+\.(?:[a-z0-9-]+\.)*(?:{_TLD}|{_COUNTRY})\b", low) is not None
     if not (glyphs or at_dot or spelled or at_host):
         return []
     aligned = Aligned.of(text)
@@ -190,7 +213,9 @@ def hidden_spans(text: str) -> list[Span]:
     if at_dot or at_host or glyphs:
         aligned = aligned.rewrite(_BRACKET_AT, lambda _: "@").rewrite(_BRACKET_DOT, lambda _: ".").rewrite(_WORDED, _worded)
         if "@" in aligned.text and _SPACED_AT.search(aligned.text):
-            aligned = aligned.rewrite(re.compile(rf"(?<=[A-Za-z0-9])[ \t]*@[ \t]*(?=[A-Za-z0-9-]+\.(?:[A-Za-z0-9-]+\.)*{_TLD}\b)", re.I), lambda _: "@")
+            aligned = aligned.rewrite(re.compile(rf"(?<=[A-Za-z0-9])[ \t]*@[ \t]*(?=[A-Za-z0-9-]+\.(?:[A-Za-z0-9-]+\.)*(?:{_TLD}|{_COUNTRY})\b)", re.I), lambda _: "@")
+    if any(h in aligned.text.lower() for h in _HINTS):
+        aligned = aligned.rewrite(_WORDED_IP, _worded_ip).rewrite(_WORDED_DOT, lambda _: ".")
     found: list[Span] = []
     if spelled:
         runs = []

@@ -66,3 +66,29 @@ def test_scan_and_redact(frame, collected, odd):
     clean = collected(pii.redact_documents(frame(odd)))
     assert [r["text"] for r in clean][:3] == odd[:3] and clean[-1]["text"] == "[EMAIL] and [IP]"
     assert pii.redact_documents(frame([])).count() == 0 and pii.redact_documents(frame(odd)).columns == frame(odd).columns
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "hidden"),
+    [
+        ("so jane at example dot ca, then", "email", "jane at example dot ca"),
+        ("so jan at firma dot pl", "email", "jan at firma dot pl"),
+        ("ask ken at firm dot co dot jp now", "email", "ken at firm dot co dot jp"),
+        ("ask ann at studio dot photography now", "email", "ann at studio dot photography"),
+        ("écris à luc arobase maison point paris vite", "email", "luc arobase maison point paris"),
+        ("jan at firma point pl", "email", "jan at firma point pl"),
+        ("mail jan at firma.pl today", "email", "jan at firma.pl"),
+        ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10"),
+        ("host one nine two dot one six eight dot zero dot one is up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("port 12 192 dot 168 dot 1 dot 10 9 times", "ip", "192 dot 168 dot 1 dot 10"),
+        ("host 192 dot 168.one dot 10 is up", "ip", "192 dot 168.one dot 10"),
+    ],
+)
+def test_disguises_in_words(text, kind, hidden):
+    assert (text.index(hidden), pii.KINDS.index(kind), text.index(hidden) + len(hidden)) in pii.find_spans(text)[1]
+    assert hidden not in pii.redact(text)
+
+
+@pytest.mark.parametrize("text", ["he was at some point in trouble", "water at boiling point of course", "look at this dot there", "one dot two dot three", "300 dot 1 dot 1 dot 1"])
+def test_sentences_with_the_same_words_stay(text):
+    assert pii.redact(text) == text
