@@ -141,7 +141,8 @@ DIGIT_WORDS = {
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _ITEM = rf"(?:\b{_WORD}\b|[0-9]+)"
 # Runs of spelled and written digits; the look-ahead makes most words fail at once.
-_SPELLED = re.compile(rf"(?:(?:\+|\bplus\b)[ ]?)?(?<![^\W_]){_ITEM}(?:[ ,.()/\n-]{{1,3}}{_ITEM}){{3,}}+", re.I)
+_SPELLED = re.compile(rf"(?:(?:\+|\bplus\b)[ ]?)?(?<![^\W_]){_ITEM}(?:[ ,.()/\n-]{{1,3}}{_ITEM})++", re.I)
+_FIGURES = re.compile(r"[0-9]")
 _BREAKS = str.maketrans(dict.fromkeys(",.()/-+\n\t", " "))
 _TLD = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|de|fr|es|uk|us|eu|ch|at|it|nl|ru|example|test)"
 #: Endings of countries that are no words of the four languages.
@@ -168,15 +169,101 @@ _HINTS = tuple("dot punkt point punto period".split())
 _AT_HINTS = ("[at]", "(at)", "{at}", "<at>", "[@]", "(@)", "arroba", "arobase", "klammeraffe", "_at_", "-at-", "*at*", "[ at ]", "( at )", "{ at }", " @", "@ ")
 
 
+_RUN_ITEM = re.compile(r"\+|[^\W\d_]+|[0-9]+")
+_DATE = re.compile(r"(?:[0-9]{4}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ][0-9]{4}|(?:(?:1[0-9]|20)[0-9]{2}[-/. ,()]*)+)")
+#: Separators that two numbers stand between, strongest first.
+_BETWEEN = (re.compile(r"\n"), re.compile(r"[,/]"), re.compile(r"[^+].*", re.S))
+
+
 def _digits_of(run: str) -> str | None:
     words = re.findall(r"[^\W\d_]+|[0-9]+", run.lower())
     spelled = [w for w in words if w in DIGIT_WORDS]
-    if len(spelled) < 3 or len(set(spelled)) < 2:
-        return None
     digits = "".join(DIGIT_WORDS.get(w, w if w.isdigit() else "") for w in words)
+    if not spelled or len(set(spelled)) < 2 and (len(spelled) == len(words) or len(set(digits)) < 2):
+        return None
+    if len(spelled) < 3:  # written digits mostly: one line without commas, and no date beside a word
+        written = re.sub(r"[^\W\d_]+", "", run).strip(" ,.()/-\n")
+        if re.search(r"[,\n]", run) or "sept" in spelled or _DATE.fullmatch(written):
+            return None
     return ("+" if run.lstrip()[:1] == "+" or words[0] == "plus" else "") + digits
 
 
+def _kind_of(digits: str) -> int | None:
+    n = len(digits.lstrip("+"))
+    if 12 <= n <= 19 and digits[0] != "+" and luhn(digits):
+        return 2
+    return 3 if 7 <= n <= 15 else None
+
+
+def _numbers_in(run: str, level: int = 0) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the numbers in a run of digits: the whole if it is one; else its parts
+    between line ends, then commas, of which short ones are taken together up to ten digits; over
+    nineteen digits without these are cut likewise."""
+    digits = _digits_of(run)
+    kind = _kind_of(digits) if digits else None
+    if kind is not None:
+        return [(0, kind, len(run))]
+    items = [m for m in _RUN_ITEM.finditer(run) if m[0] != "+" and m[0].lower() != "plus"]
+    size = [len(m[0]) if m[0][0].isdigit() else 1 for m in items]
+    if sum(size) < 7 or not any(m[0].lower() in DIGIT_WORDS for m in items):
+        return []
+    while level < len(_BETWEEN):
+        if level == 2 and sum(size) < 20:
+            return []
+        cuts = [k for k in range(1, len(items)) if _BETWEEN[level].search(run[items[k - 1].end() : items[k].start()])]
+        if cuts:
+            break
+        level += 1
+    else:
+        return []
+
+    def begin(k: int) -> int:
+        before = run[items[k - 1].end() if k else 0 : items[k].start()]
+        sign = re.search(r"(?:\+|plus) ?$", before, re.I)
+        return items[k].start() - (len(sign[0]) if sign else 0)
+
+    found, short = [], []  # short: places, in items, of parts too small to be numbers
+
+    def flush() -> None:
+        at, rest = 0, sum(p[2] for p in short)
+        while at < len(short):
+            upto, n = at, 0
+            while upto < len(short) and n < 10:
+                n += short[upto][2]
+                upto += 1
+            rest -= n
+            if rest < 7 and n + rest <= 15:
+                upto = len(short)
+            start, end = begin(short[at][0]), items[short[upto - 1][1] - 1].end()
+            digits = _digits_of(run[start:end])
+            kind = _kind_of(digits) if digits else None
+            if kind is not None:
+                found.append((start, kind, end))
+            at = upto
+        short.clear()
+
+    for a, b in zip([0, *cuts], [*cuts, len(items)], strict=True):
+        if sum(size[a:b]) < 7 and level:
+            if short and begin(a) < items[a].start():  # a plus begins a number
+                flush()
+            short.append((a, b, sum(size[a:b])))
+            continue
+        flush()
+        start = begin(a)
+        found += [(start + x, kind, start + y) for x, kind, y in _numbers_in(run[start : items[b - 1].end()], level + 1)]
+    flush()
+    return found
+
+
+def _spells(low: str) -> bool:
+    """Whether a lowered text has digit words enough for a number: two, or one beside figures."""
+    seen = sum(w in low for w in DIGIT_WORDS)
+    if not seen or (seen == 1 and not _FIGURES.search(low)):
+        return False
+    seen = len(DIGIT_WORDS.keys() & set(low.translate(_BREAKS).split()))
+    return seen > 1 or (seen == 1 and _FIGURES.search(low) is not None)
+
+
 def _worded(m: re.Match) -> str | None:
     plain_dots, plain_at = "." in m[3] and not _DOT_SPLIT.search(m[3]), "@" in m[0]
     if plain_dots and plain_at:
@@ -202,7 +289,7 @@ def hidden_spans(text: str) -> list[Span]:
     glyphs = not text.isascii() and not _GLYPH_CHARS.isdisjoint(text)
     low = text.lower()
     at_dot = any(h in low for h in _AT_HINTS) or any(h in low for h in _HINTS)
-    spelled = sum(w in low for w in DIGIT_WORDS) > 1 and len(DIGIT_WORDS.keys() & set(low.translate(_BREAKS).split())) > 1
+    spelled = _spells(low)
     # " at " before a host is a disguise only with a known ending
     at_host = " at " in low and re.search(rf" at [a-z0-9-]+\.(?:[a-z0-9-]+\.)*(?:{_TLD}|{_COUNTRY})\b", low) is not None
     if not (glyphs or at_dot or spelled or at_host):
@@ -210,6 +297,8 @@ def hidden_spans(text: str) -> list[Span]:
     aligned = Aligned.of(text)
     if glyphs:
         aligned = aligned.rewrite(_GLYPH, lambda m: GLYPHS.get(m[0], ""))
+        # both readings: digit words may hold letters that are look-alikes, or be written with them
+        spelled = spelled or _spells(aligned.text.lower())
     if at_dot or at_host or glyphs:
         aligned = aligned.rewrite(_BRACKET_AT, lambda _: "@").rewrite(_BRACKET_DOT, lambda _: ".").rewrite(_WORDED, _worded)
         if "@" in aligned.text and _SPACED_AT.search(aligned.text):
@@ -218,21 +307,10 @@ def hidden_spans(text: str) -> list[Span]:
         aligned = aligned.rewrite(_WORDED_IP, _worded_ip).rewrite(_WORDED_DOT, lambda _: ".")
     found: list[Span] = []
     if spelled:
-        runs = []
-
-        def put(m: re.Match) -> str | None:
-            digits = _digits_of(m[0])
-            if digits:
-                runs.append((digits, *aligned.source(m.start(), m.end())))
-            return digits
-
-        aligned.rewrite(_SPELLED, put)
-        for digits, start, end in runs:
-            n = len(digits.lstrip("+"))
-            if 12 <= n <= 19 and digits[0] != "+" and luhn(digits):
-                found.append((start, 2, end))
-            elif 7 <= n <= 15:
-                found.append((start, 3, end))
+        for m in _SPELLED.finditer(aligned.text):
+            for start, kind, end in _numbers_in(m[0]):
+                begin, stop = aligned.source(m.start() + start, m.start() + end)
+                found.append((begin, kind, stop))
     if aligned.text != text:
         for start, kind, end in base_spans(aligned.text):
             begin, stop = aligned.source(start, end)

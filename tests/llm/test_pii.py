@@ -92,3 +92,35 @@ def test_disguises_in_words(text, kind, hidden):
 @pytest.mark.parametrize("text", ["he was at some point in trouble", "water at boiling point of course", "look at this dot there", "one dot two dot three", "300 dot 1 dot 1 dot 1"])
 def test_sentences_with_the_same_words_stay(text):
     assert pii.redact(text) == text
+
+
+PHONE = "five five five one two three four five six seven"
+OTHER = "eight zero zero nine one one two two three four"
+
+
+@pytest.mark.parametrize("between", ["\n", ", ", ",", ",\n", " / "])
+def test_spelled_numbers_in_a_list_are_apart(between):
+    for numbers in ([PHONE, OTHER], [PHONE, OTHER, "plus " + PHONE], [OTHER] * 7):
+        text = "call " + between.join(numbers) + " now"
+        want, at = [], 5
+        for n in numbers:
+            want.append((at, pii.KINDS.index("phone"), at + len(n)))
+            at += len(n) + len(between)
+        assert pii.find_spans(text)[1] == want
+
+
+@pytest.mark.parametrize("text", ["ring 555 one two 3 4 5 6 now", "ring 555 123 45 six seven now", "ring fіve fіve fіve оne twо three fоur now", "ring five five five, one two three, four five six seven\nfive five five, one two three, four five six seven now", "ring " + PHONE + " " + OTHER + " now"])
+def test_spelled_numbers_leave_no_digit(text):
+    assert set(re.sub(r"\[PHONE\]|[\n ]", "", pii.redact(text)[5:-4])) == set() and "[PHONE]" in pii.redact(text)
+
+
+@pytest.mark.parametrize("text", ["on 2019-10-12 one of them", "in 1999, 2000, 2001, one of them", "12 sept 2019 10.30", "one 2 3"])
+def test_words_beside_figures_stay(text):
+    assert pii.redact(text) == text
+
+
+def test_spelled_lists_take_little_time():
+    began = time.time()
+    for text in ("one two, " * 50_000, "one two\n" * 50_000, "one two " * 50_000, "1, one 2 " * 50_000, "one2 " * 50_000):
+        pii.find_spans(text)
+    assert time.time() - began < 20
