@@ -61,7 +61,7 @@ def base_spans(text: str) -> list[Span]:
             found.append((start, 0, free))
         at = text.find("@", max(at + 1, free))
     for m in _IP.finditer(text):
-        if m[1] and all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if m[1] and all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _only_digits(m[0])) <= 19 and luhn(d):

@@ -124,3 +124,8 @@ def test_spelled_lists_take_little_time():
     for text in ("one two, " * 50_000, "one two\n" * 50_000, "one two " * 50_000, "1, one 2 " * 50_000, "one2 " * 50_000):
         pii.find_spans(text)
     assert time.time() - began < 20
+
+
+def test_many_zeros_are_a_number():
+    text = "0" * 5000 + ".1.1.1"
+    assert (0, 1, len(text)) in pii.base_spans(text) and pii.redact(text) == "[IP]"
