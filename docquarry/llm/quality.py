@@ -2,7 +2,8 @@
 
 Bytes are embedded and cut into chunks of CHUNK bytes that overlap by a filter's
 width, so that every window of the whole text lies in one chunk.  Learned filters
-slide over the windows and are max-pooled in every chunk; beside them, for every
+take the windows at every STRIDE-th byte (every second: all bytes are covered, but a
+pattern is seen only in windows at even places) and are max-pooled in every chunk; beside them, for every
 lag, the share of a chunk's bytes that equal the byte so far before (repetition that no
 short filter sees).  The chunks' maxima are combined by their mean and their maximum
 over the text into one probability through a small learned layer.
@@ -64,7 +65,7 @@ def chunked(raw: bytes) -> np.ndarray:
 
 
 def windows(net: ByteNet, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filter outputs for every window start of data (whole chunks): chunks x starts x FILTERS."""
+    """Filter outputs for every STRIDE-th window start of data (whole chunks): chunks x starts x FILTERS."""
     x = net.embed[np.concatenate([data, np.zeros(WIDTH, np.uint8)])]
     m = len(data) // WIDTH
     out = np.empty((m, WIDTH // STRIDE, FILTERS), np.float32)
