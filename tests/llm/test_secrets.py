@@ -49,7 +49,7 @@ def test_no_python_and_no_exchange(frame):
 
 def brute_linked(text):
     """Links by all pairs of parts, on their line numbers."""
-    spans = {k: [m.span() for m in re.finditer(p.replace("(?i:", "(?ai:"), text)] for k, p in (("a", secrets.ASSIGN.replace("]+)", "]{6,})")), ("k", secrets.ACCESS), ("h", secrets.HEX), ("i", secrets.WEAK_ID), ("s", secrets.WEAK_SECRET), ("e", secrets.ENDPOINT))}
+    spans = {k: [m.span() for m in re.finditer(p.replace("(?i:", "(?ai:"), text) if k != "a" or len(m[1]) >= 6] for k, p in (("a", secrets.ASSIGN), ("k", secrets.ACCESS), ("h", secrets.HEX), ("i", secrets.WEAK_ID), ("s", secrets.WEAK_SECRET), ("e", secrets.ENDPOINT))}
 
     def reach(one, kinds):
         for k in kinds:
@@ -77,3 +77,26 @@ def test_links_do_not_depend_on_the_place_in_a_block(frame, collected):
         assert got == brute_linked(text), text
     got = [r["spans"] for r in collected(secrets.scan_documents(frame(texts[:20])))]
     assert [("weak_id" in s and "weak_secret" in s) for s in got] == [True, True, True, False] * 5
+
+
+def test_long_texts(frame, collected):
+    """Runs of line ends, many parts and many lines: whole results, in linear time."""
+    line = "client_id = my-app-77 password: hunter22 https://a.b/c\n"
+    texts = ["user_id: alice\n" + "\n" * 100_000 + "token: abcdef123", line * 3_000, "word\n" * 200_000 + line, "user_id: a1\n" + "x " * 500_000, "login: " + "a" * 500_000 + " token: abcdef123"]
+    got = [r["spans"] for r in collected(secrets.scan_documents(frame(texts)))]
+    assert got[0] == "assign:100015:100031" and got[3] == ""
+    n = len(line)
+    want = [f"{k}:{n * i + s}:{n * i + e}" for i in range(3_000) for k, s, e in (("weak_id", 0, 21), ("assign", 22, 40), ("endpoint", 41, 54))]
+    assert got[1].split(",") == want
+    assert got[2] == ",".join(f"{k}:{10**6 + s}:{10**6 + e}" for k, s, e in (("weak_id", 0, 21), ("assign", 22, 40), ("endpoint", 41, 54)))
+    assert got[4] == "weak_id:0:500007,assign:500008:500024"
+
+
+def test_running(spark):
+    from pyspark.sql import functions as F
+
+    from docquarry.llm.common import running
+
+    for n in (0, 1, 31, 32, 33, 64, 1024, 1025, 40_000):
+        row = spark.range(1).select(F.array_repeat(F.lit(1), n).alias("a")).select(running(F.col("a"), lambda a, b: a + b).alias("r")).first()
+        assert row.r == list(range(1, n + 1))
