@@ -13,8 +13,9 @@ with an empty character map the alignment of a word depends on the word alone,
 so it is memoised too.
 
 Nulls and empty texts encode to the begin and end ids alone and decode to "".
-Very long texts need memory in proportion to one text; the memo is bounded and
-has no influence on results.
+Decoding is the library's own, of the ids that were made, for every text.
+Very long texts need memory in proportion to one text; the memo is bounded in bytes, holds
+no word of over MEMO_CHARS characters, and has no influence on results.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from docquarry.llm.common import prepare_workers
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-#: Words kept in a worker's memo; when full it is emptied.
-MEMO_WORDS = 250_000
+#: Bytes of a worker's memo, with what Python takes for an entry; when full it is emptied.  Longer words pass.
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 96_000_000, 180, 64
 #: Characters of text whose words are learnt together.
 LEARN_CHARS = 1_000_000
 
@@ -107,13 +108,8 @@ class Codec:
         self.width = np.array([1 if p.type == pb.ModelProto.SentencePiece.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
         #: Bytes of source text where a mark stands for one blank and nothing else changes.
         self.span = self.width - 2 * np.array([p.piece.count(MARK) for p in proto.pieces], np.int64)
-        #: What each id decodes to inside a text: byte pieces are raw bytes, marks blanks.
-        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == pb.ModelProto.SentencePiece.BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
-        special = [i for i, p in enumerate(proto.pieces) if p.type != normal]
-        #: Ids from here on are pieces of characters.
-        self.first_normal = max(special, default=-1) + 1
         self.memo: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     # -- normalisation --
 
@@ -194,25 +190,25 @@ class Codec:
 
     # -- whole texts --
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of words into the memo, as the raw bytes that are joined
-        later; words that don't decode to themselves go to a second memo.  Words
-        come without their last mark."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words, as the raw bytes that are joined later; short words go to the
+        memo.  Words come without their last mark."""
         fresh = list(words)
         coded = self.library.encode(fresh, num_threads=1)
         for k, ids in enumerate(coded):
             if not ids:  # the empty word is a lone mark
                 coded[k] = self.merge(MARK)
         flat = np.fromiter(chain.from_iterable(coded), np.uint32).tobytes()
-        memo, surface, floor, at = self.memo, self.surface, self.first_normal, 0
+        memo, passing, at = self.memo, {}, 0
         for word, ids in zip(fresh, coded, strict=True):
             end = at + 4 * len(ids)
-            memo[word] = flat[at:end]
+            if len(word) > MEMO_CHARS:
+                passing[word] = flat[at:end]
+            else:
+                memo[word] = flat[at:end]
+                self.memo_bytes += ENTRY_BYTES + len(word) + end - at
             at = end
-            if min(ids) < floor:  # pieces of characters join to the word itself
-                back = b"".join([surface[i] for i in ids])
-                if back[1:] != word.encode():
-                    self.odd[word] = back
+        return passing
 
     def words_of(self, text: str) -> list[str]:
         """The text's marked words, each without its last mark's place: a word is
@@ -221,15 +217,14 @@ class Codec:
             return text.split(" ")
         return [w[1:] for w in re.findall(r" +[^ ]*", " " + text)]
 
-    def encode_plain(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """For models with an empty character map: ids and decoded text.  Words are
-        learnt for some texts at a time, so that the library is called for many
-        words at once."""
+    def encode_plain(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts, for models with an empty character map.  Words are learnt for some texts
+        at a time, so that the library is called for many words at once."""
         at = 0
         while at < len(texts):
-            if len(self.memo) > MEMO_WORDS:
+            if self.memo_bytes > MEMO_BYTES:
                 self.memo.clear()
-                self.odd.clear()
+                self.memo_bytes = 0
             known, first, split, chars, new = self.memo.get, at, [], 0, set()
             while at < len(texts) and chars < LEARN_CHARS:
                 own = self.words_of(texts[at]) if texts[at] else []
@@ -237,18 +232,15 @@ class Codec:
                 missed = [w for w, g in zip(own, got, strict=True) if g is None] if None in got else None
                 if missed:
                     new.update(missed)
-                split.append((own, got, missed))
+                split.append((got, missed))
                 chars += len(texts[at])
                 at += 1
-            if new:
-                self.learn(new)
-            odd = self.odd
-            for text, (own, got, missed) in zip(texts[first:at], split, strict=True):
+            passing = self.learn(new) if new else {}
+            for got, missed in split:
                 if missed:
                     fill = iter(missed)
-                    got = [known(next(fill)) if g is None else g for g in got]
-                back = b"".join([odd.get(w) or b" " + w.encode() for w in own])[1:] if odd and not odd.keys().isdisjoint(own) else text.encode()
-                yield b"".join(got), back
+                    got = [(known(w := next(fill)) or passing[w]) if g is None else g for g in got]
+                yield b"".join(got)
 
     def encode_many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids with begin and end, and the begin and end byte of each in its text; the
@@ -258,7 +250,7 @@ class Codec:
         for text in whole:
             size = len(text.encode())
             if self.plain and MARK not in text:
-                ids = np.frombuffer(next(plain)[0], np.uint32)
+                ids = np.frombuffer(next(plain), np.uint32)
                 ends = np.cumsum(self.span[ids])
                 begins = ends - self.span[ids]
                 # the first mark stands for no byte of the text
@@ -288,13 +280,14 @@ class Codec:
         plain = self.encode_plain([t for t in whole if MARK not in t]) if self.plain else iter(())
         for text in whole:
             if self.plain and MARK not in text:
-                ids, back = next(plain)
+                ids = next(plain)
                 ends = np.cumsum(self.span[np.frombuffer(ids, np.uint32)]) - 1
                 ids, spans = head + ids + tail, np.maximum(ends, 0).astype("<u4").tobytes()
             else:
                 at, _, ends = self.encode(text)
-                back, ids, spans = self.decode(at).encode(), at.astype("<u4").tobytes(), ends[1:-1].astype("<u4").tobytes()
-            yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), hashlib.sha256(spans).hexdigest()
+                ids, spans = at.astype("<u4").tobytes(), ends[1:-1].astype("<u4").tobytes()
+            back = self.library.decode(np.frombuffer(ids, "<u4").tolist())
+            yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), hashlib.sha256(spans).hexdigest()
 
 
 _codecs: dict[str, Codec] = {}

@@ -71,6 +71,34 @@ def test_digests_and_round_trip(frame, collected, own, odd):
 def test_memo_bound_changes_nothing(monkeypatch, own):
     texts = random_texts(200)
     want = list(own.digests(texts))
-    monkeypatch.setattr(codec, "MEMO_WORDS", 5)
+    monkeypatch.setattr(codec, "MEMO_BYTES", 1000)
+    monkeypatch.setattr(codec, "MEMO_CHARS", 3)
     monkeypatch.setattr(codec, "LEARN_CHARS", 50)
     assert list(own.digests(texts)) == want
+
+
+def test_memo_is_bounded_in_bytes():
+    r = random.Random(2)
+    fresh = codec.Codec(tokenizer_model())
+    texts = ["".join(r.choices("abcdef0123456789", k=30_000)) for _ in range(40)]
+    list(fresh.digests(texts))
+    assert not fresh.memo and not fresh.memo_bytes
+    list(fresh.digests([" ".join("".join(r.choices("abcdef", k=8)) for _ in range(20_000)) for _ in range(3)]))
+    assert fresh.memo_bytes >= sum(len(w) + len(ids) for w, ids in fresh.memo.items())
+
+
+def test_decode_is_called_for_every_text(own, odd):
+    class Counted:
+        def __init__(self, library):
+            self.library, self.calls = library, 0
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+        def decode(self, ids):
+            self.calls += 1
+            return self.library.decode(ids)
+
+    fresh = codec.Codec(tokenizer_model())
+    fresh.library = counted = Counted(fresh.library)
+    assert len(list(fresh.digests(odd))) == counted.calls == len(odd)
