@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 
 from docquarry.llm.common import prepare_workers
 
+#: Samples that are squared at a time.
+SQUARES = 1 << 16
 UNKNOWN = "application/octet-stream"
 BLOCK, SAMPLE_RATE = 192, 16_000
 
@@ -243,7 +245,7 @@ def wave_features(stored: bytes) -> str:
     objects carved from inside, as type@start+length."""
     samples = np.frombuffer(from_wave(stored), np.uint8)
     mean = int(samples.sum(dtype=np.int64)) / max(1, samples.size)
-    square = int(np.dot(samples.astype(np.float32), samples.astype(np.float32))) if samples.size < 1 << 16 else int((samples.astype(np.int64) ** 2).sum())
+    square = sum(int(np.square(samples[k : k + SQUARES].astype(np.uint64)).sum()) for k in range(0, samples.size, SQUARES))
     peak = int(samples.reshape(-1, BLOCK).sum(1, dtype=np.int64).max()) if samples.size and not samples.size % BLOCK else 0
     found = sniff(stored)
     inner = ",".join(f"{kind}@{start}+{length}" for kind, start, length in found if start)
@@ -285,26 +287,29 @@ def inspect_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
     return media.select(id_col, media_col, declared_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature): store_texts and a read of the stored bytes, digested where they are made."""
-    prepare_workers(docs.sparkSession)
+def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of
+    a table of stored payloads, from their bytes alone."""
+    prepare_workers(media.sparkSession)
 
-    def digest(text: str | None) -> tuple:
-        payload, n = pad(text)
-        stored = to_wave(payload)
+    def digest(stored: bytes) -> tuple:
         read = from_wave(stored)
-        return n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), wave_features(stored)
+        return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), wave_features(stored)
 
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
         for batch in batches:
-            rows = [digest(t) for t in batch.column(1).to_pylist()]
+            rows = [digest(stored.as_py()) for stored in batch.column(2)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n_bytes", *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = media.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return media.select(id_col, "n_bytes", "media").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The figures of read_media for every text: the binary column of store_texts, read back."""
+    return read_media(store_texts(docs, id_col, text_col), id_col)

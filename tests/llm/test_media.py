@@ -1,9 +1,12 @@
 import gzip
 import hashlib
 import io
+import math
+import random
 import struct
 import zipfile
 import zlib
+from fractions import Fraction
 
 from docquarry.llm import media
 
@@ -63,3 +66,19 @@ def test_payloads_come_back(frame, collected, odd):
     stored = media.store_texts(frame(["hello"])).first()
     assert media.from_wave(bytes(stored.media)) == b"hello".ljust(192)
     assert media.media_digests(frame([])).count() == 0
+
+
+def test_feature_against_brute_force(frame, collected, odd):
+    r = random.Random(4)
+    texts = odd + ["".join(chr(r.randint(1, 0x2FF)) for _ in range(r.choice((10, 500, 70_000)))) for _ in range(40)]
+    texts += ["RIFF then GIF89a and PK\3\4", "\xff" * 66_000]
+    for row, text in zip(collected(media.media_digests(frame(texts))), texts, strict=True):
+        raw = (text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        mean = Fraction(sum(payload), len(payload))
+        dev = math.sqrt(float(Fraction(sum(b * b for b in payload), len(payload)) - mean**2))
+        peak = max(sum(payload[k : k + 192]) for k in range(0, len(payload), 192))
+        fields = dict(f.split("=", 1) for f in row["feature"].split(";")[1:])
+        assert row["feature"].startswith("audio/wav;n=") and int(fields["n"]) == len(payload) and int(fields["peak"]) == peak
+        assert abs(float(fields["mean"]) - float(mean)) < 6e-5 and abs(float(fields["dev"]) - dev) < 6e-5 and fields["inner"] == ""
+    assert "inner=image/gif@47+" in media.wave_features(media.to_wave(b"abc" + samples()["image/gif"]))
