@@ -1,16 +1,15 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Bytes are embedded and cut into chunks of CHUNK bytes that overlap by a filter's
-width, so that every window of the whole text lies in one chunk.  Learned filters
-take the windows at every STRIDE-th byte (every second: all bytes are covered, but a
-pattern is seen only in windows at even places) and are max-pooled in every chunk; beside them, for every
-lag, the share of a chunk's bytes that equal the byte so far before (repetition that no
-short filter sees).  The chunks' maxima are combined by their mean and their maximum
-over the text into one probability through a small learned layer.
+Bytes are embedded and cut into chunks of CHUNK bytes that overlap by a filter's width less one, so that
+every window of the whole text, at every byte, lies in exactly one chunk.  Learned filters take
+the windows and are max-pooled in every chunk; the chunks' maxima are combined by their mean, their maximum
+and their minimum over the text into one probability through a small learned layer.  Nothing but
+the filters' outputs is seen: repetition shows in chunks where few of the filters find anything.
 
 Null and empty texts are one chunk of padding.  Memory is bounded by one text
-beside a fixed block.  Training is deterministic, on a bounded sample of
-the labelled rows that aren't held out (crc32 of the id as text, modulo 5, is 0: held out).
+beside a fixed block.  Training is deterministic, on the whole texts of a bounded sample of
+the labelled rows that aren't held out (crc32 of the id as text, modulo 5, is 0: held out): at most LABEL_ROWS
+rows, and FIT_CHARS characters of toxicity.fit_rows.
 """
 
 from __future__ import annotations
@@ -25,15 +24,14 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import prepare_workers
 from docquarry.llm.toxicity import fit_rows, held_out
 
-#: Labelled rows to learn from, chunks of one text in a training step, threshold.
-LABEL_ROWS, FIT_CHUNKS, THRESHOLD = 4000, 6, 0.3
-CHUNK, WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 512, 8, 2, 8, 16, 16
-LAGS = tuple(range(1, 25))
+#: Labelled rows to learn from, threshold.
+LABEL_ROWS, THRESHOLD = 4000, 0.3
+CHUNK, WIDTH, DIM, FILTERS, HIDDEN = 512, 8, 8, 32, 16
 PAD = 0
 #: Training steps, whatever the number of rows.
-STEPS = 500
-#: Bytes that are convolved at a time.
-BLOCK = 1 << 19
+STEPS = 600
+#: Bytes that are convolved at a time: whole chunks.
+BLOCK = 1 << 16
 
 
 @dataclass
@@ -49,7 +47,7 @@ class ByteNet:
     @classmethod
     def fresh(cls, seed: int = 7) -> ByteNet:
         r = np.random.default_rng(seed)
-        n = 2 * (FILTERS + len(LAGS)) + 1
+        n = 3 * FILTERS
         f = np.float32
         return cls(r.normal(0, 0.5, (256, DIM)).astype(f), r.normal(0, (WIDTH * DIM) ** -0.5, (WIDTH * DIM, FILTERS)).astype(f), np.zeros(FILTERS, f), r.normal(0, n**-0.5, (n, HIDDEN)).astype(f), np.zeros(HIDDEN, f), r.normal(0, HIDDEN**-0.5, HIDDEN).astype(f), np.zeros(1, f))
 
@@ -64,53 +62,46 @@ def chunked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw.ljust(n, b"\0"), np.uint8)
 
 
-def windows(net: ByteNet, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filter outputs for every STRIDE-th window start of data (whole chunks): chunks x starts x FILTERS."""
-    x = net.embed[np.concatenate([data, np.zeros(WIDTH, np.uint8)])]
-    m = len(data) // WIDTH
-    out = np.empty((m, WIDTH // STRIDE, FILTERS), np.float32)
-    for k in range(WIDTH // STRIDE):
-        out[:, k] = x[k * STRIDE : k * STRIDE + m * WIDTH].reshape(m, WIDTH * DIM) @ net.filters
-    return out.reshape(len(data) // CHUNK, CHUNK // STRIDE, FILTERS), x
-
-
-def lag_shares(data: np.ndarray) -> np.ndarray:
-    """For every chunk and lag, the share of its bytes equal to the one so far before."""
-    own = data.reshape(-1, CHUNK)
-    real = np.maximum(1, (own != PAD).sum(1)).astype(np.float32)
-    out = np.empty((len(own), len(LAGS)), np.float32)
-    for k, lag in enumerate(LAGS):
-        out[:, k] = ((own[:, lag:] == own[:, :-lag]) & (own[:, lag:] != PAD)).sum(1) / real
-    return out
-
-
-def pooled(net: ByteNet, data: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Max-pooled filters and lag shares of every chunk, a block at a time.  Windows of padding
-    that reach over the end of a text, in its ``last`` chunk, are left out."""
-    parts = []
-    for at in range(0, len(data), BLOCK):
-        part = data[at : at + BLOCK + WIDTH]
-        own, _ = windows(net, data[at : at + BLOCK]) if len(part) <= BLOCK else windows_with_tail(net, part)
-        own[last[at // CHUNK : at // CHUNK + len(own)], 1 - WIDTH // STRIDE :] = -np.inf
-        parts.append(np.hstack([np.maximum(own.max(1) + net.bias, 0), lag_shares(data[at : at + BLOCK])]))
-    return np.vstack(parts)
-
-
-def windows_with_tail(net: ByteNet, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's windows where the last ones reach into the next block."""
-    x = net.embed[part]
-    m = BLOCK // WIDTH
-    out = np.empty((m, WIDTH // STRIDE, FILTERS), np.float32)
-    for k in range(WIDTH // STRIDE):
-        out[:, k] = x[k * STRIDE : k * STRIDE + m * WIDTH].reshape(m, WIDTH * DIM) @ net.filters
-    return out.reshape(BLOCK // CHUNK, CHUNK // STRIDE, FILTERS), x
-
-
-def summaries(chunks: np.ndarray, sizes: list[int], lengths: np.ndarray) -> np.ndarray:
-    """Mean and maximum over each text's chunks, and the logarithm of its length."""
+def windows(net: ByteNet, data: np.ndarray) -> np.ndarray:
+    """Filter outputs of the windows at every byte of data but the last WIDTH: chunks x CHUNK x FILTERS.
+    Data is whole chunks and the first WIDTH bytes of what follows."""
+    x = net.embed[data]
+    m = (len(data) - WIDTH) // WIDTH
+    out = np.empty((m, WIDTH, FILTERS), np.float32)
+    for k in range(WIDTH):
+        out[:, k] = x[k : k + m * WIDTH].reshape(m, WIDTH * DIM) @ net.filters
+    return out.reshape(-1, CHUNK, FILTERS)
+
+
+def pooled(net: ByteNet, data: np.ndarray, last: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Max-pooled filters of every chunk before bias, and the places of the maxima where asked for,
+    a block at a time.  Windows of padding that reach over the end of a text, in its ``last``
+    chunk, are left out."""
+    tops, bests = [], []
+    data = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
+    for at in range(0, len(data) - WIDTH, BLOCK):
+        own = windows(net, data[at : at + BLOCK + WIDTH])
+        own[last[at // CHUNK : at // CHUNK + len(own)], 1 - WIDTH :] = -np.inf
+        if places:
+            bests.append(own.argmax(1))
+            tops.append(np.take_along_axis(own, bests[-1][:, None, :], 1)[:, 0])
+        else:
+            tops.append(own.max(1))
+    return np.vstack(tops), np.vstack(bests) if places else None
+
+
+def ends_of(sizes: list[int]) -> np.ndarray:
+    """Which chunks are the last of texts of so many chunks."""
+    last = np.zeros(sum(sizes), bool)
+    last[np.cumsum(sizes) - 1] = True
+    return last
+
+
+def summaries(chunks: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Mean, maximum and minimum over each text's chunks."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     mean = np.add.reduceat(chunks, starts) / np.array(sizes, np.float32)[:, None]
-    return np.hstack([mean, np.maximum.reduceat(chunks, starts), np.log1p(lengths)[:, None].astype(np.float32) / 5]).astype(np.float32)
+    return np.hstack([mean, np.maximum.reduceat(chunks, starts), np.minimum.reduceat(chunks, starts)]).astype(np.float32)
 
 
 def probabilities(net: ByteNet, summary: np.ndarray) -> np.ndarray:
@@ -125,31 +116,27 @@ def score_texts(net: ByteNet, texts: list[str | None]) -> np.ndarray:
     def flush() -> None:
         nonlocal held, size
         if held:
-            data = np.concatenate([d for d, _ in held])
-            last = np.zeros(len(data) // CHUNK, bool)
-            last[np.cumsum([len(d) // CHUNK for d, _ in held]) - 1] = True
-            summary = summaries(pooled(net, data, last), [len(d) // CHUNK for d, _ in held], np.array([n for _, n in held]))
-            scores.append(probabilities(net, summary))
+            sizes = [len(d) // CHUNK for d in held]
+            top, _ = pooled(net, np.concatenate(held), ends_of(sizes))
+            scores.append(probabilities(net, summaries(np.maximum(top + net.bias, 0), sizes)))
         held, size = [], 0
 
     for text in texts:
-        raw = (text or "").encode()
-        held.append((chunked(raw), len(raw)))
-        size += len(held[-1][0])
+        held.append(chunked((text or "").encode()))
+        size += len(held[-1])
         if size >= BLOCK:
             flush()
     flush()
     return np.concatenate(scores) if scores else np.zeros(0)
 
 
-def train(texts: list[str], good: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteNet:
-    """Adam on the cross entropy; the gradient of a pooled filter goes to the window
-    that gave the maximum.  A step sees up to FIT_CHUNKS chunks of each text."""
+def train(texts: list[str], good: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 6e-3, seed: int = 7) -> ByteNet:
+    """Adam on the cross entropy over whole texts; the gradient of a pooled filter goes to the
+    window that gave the maximum."""
     net, r = ByteNet.fresh(seed), np.random.default_rng(seed)
     if not len(texts):
         return net
-    raws = [t.encode() if t else b"" for t in texts]
-    data = [chunked(x).reshape(-1, CHUNK) for x in raws]
+    data = [chunked(t.encode() if t else b"") for t in texts]
     params = net.params()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     # rare label: each class weighs alike in half
@@ -160,36 +147,31 @@ def train(texts: list[str], good: np.ndarray, steps: int = STEPS, batch: int = 6
         order = r.permutation(len(data))
         for at in range(0, min(len(order), (steps - step) * batch), batch):
             rows = order[at : at + batch]
-            picked = [data[i] if len(data[i]) <= FIT_CHUNKS else data[i][np.sort(r.choice(len(data[i]), FIT_CHUNKS, replace=False))] for i in rows]
-            sizes = [len(p) for p in picked]
-            flat = np.concatenate(picked).reshape(-1)
-            out, _ = windows(net, flat)
-            out[:, 1 - WIDTH // STRIDE :] = -np.inf  # what follows a chunk here isn't its text
-            best = out.argmax(1)
-            top = np.take_along_axis(out, best[:, None, :], 1)[:, 0] + net.bias
-            act = np.maximum(top, 0)
-            chunks = np.hstack([act, lag_shares(flat)])
-            summary = summaries(chunks, sizes, np.array([len(raws[i]) for i in rows]))
+            sizes = [len(data[i]) // CHUNK for i in rows]
+            flat = np.concatenate([data[i] for i in rows])
+            top, best = pooled(net, flat, ends_of(sizes), places=True)
+            act = np.maximum(top + net.bias, 0)
+            summary = summaries(act, sizes)
             hidden = np.tanh(summary @ net.w1 + net.b1)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.w2 + net.b2, -30, 30)))
             dz = ((p - good[rows]) * weight[rows] / len(rows)).astype(np.float32)
             d_hidden = dz[:, None] * net.w2 * (1 - hidden**2)
             d_sum = d_hidden @ net.w1.T
-            width = chunks.shape[1]
             owner = np.repeat(np.arange(len(rows)), sizes)
-            d_chunk = d_sum[owner, :FILTERS] / np.array(sizes, np.float32)[owner][:, None]
-            is_top = act == summary[owner, width : width + FILTERS]
-            d_chunk += d_sum[owner, width : width + FILTERS] * is_top
-            d_chunk *= top > 0
-            starts = np.arange(len(chunks))[:, None] * CHUNK + best * STRIDE  # chunks x FILTERS
+            d_mean, d_most, d_least = np.split(d_sum[owner], 3, axis=1)
+            _, most, least = np.split(summary[owner], 3, axis=1)
+            d_chunk = d_mean / np.array(sizes, np.float32)[owner][:, None] + d_most * (act == most) + d_least * (act == least)
+            d_chunk *= act > 0
+            starts = np.arange(len(act))[:, None] * CHUNK + best  # chunks x FILTERS
             padded = np.concatenate([flat, np.zeros(WIDTH, np.uint8)])
-            taps = padded[starts[:, :, None] + np.arange(WIDTH)]  # chunks x FILTERS x WIDTH
-            seen = net.embed[taps].reshape(len(chunks), FILTERS, WIDTH * DIM)
-            d_filters = np.einsum("cf,cfk->kf", d_chunk, seen)
-            d_seen = (d_chunk[:, :, None] * net.filters.T[None]).reshape(-1, DIM)
-            d_embed = np.empty_like(net.embed)
-            for j in range(DIM):
-                d_embed[:, j] = np.bincount(taps.reshape(-1), d_seen[:, j], 256)
+            d_filters, d_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+            for k in range(WIDTH):  # one tap of all windows at a time
+                seen = padded[starts + k]
+                rows_of = slice(k * DIM, (k + 1) * DIM)
+                d_filters[rows_of] = np.einsum("cf,cfd->df", d_chunk, net.embed[seen])
+                d_seen = (d_chunk[:, :, None] * net.filters[rows_of].T[None]).reshape(-1, DIM)
+                for j in range(DIM):
+                    d_embed[:, j] += np.bincount(seen.reshape(-1), d_seen[:, j], 256)
             grads = [d_embed, d_filters, d_chunk.sum(0), summary.T @ d_hidden + 1e-4 * net.w1, d_hidden.sum(0), hidden.T @ dz + 1e-4 * net.w2, dz.sum(keepdims=True)]
             step += 1
             now = rate * min(1.0, step / 50) * (1 - 0.9 * step / steps)
