@@ -11,30 +11,30 @@ two-grade fit, that is by how much evidence they hold.  Rows held out (crc32 of
 modulo 5, is 0) are never learnt from.
 
 Null and empty texts have no features and get the severity of an empty text;
-null ids are never learnt from.  Repeated rows score alike.
+null ids are never learnt from.  Repeated rows score alike.  The fit sees at most LABEL_ROWS labelled
+rows and FIT_CHARS characters of their whole texts; of rows with one id it sees the shortest text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import prepare_workers
 
-#: Bounds of the fit: labelled rows, features, and characters of a text to learn from.
-LABEL_ROWS, MAX_FEATURES, MAX_FIT_CHARS = 8000, 2_000, 200_000
+#: Bounds of the fit: labelled rows, and characters of all their texts.
+LABEL_ROWS, FIT_CHARS = 8000, 48_000_000
 #: Deviations by which a feature's share must differ between toxic and clean texts.
 Z_LEAST = 5.0
-#: Hashes by which features are counted before they are held by name.
-BINS = 1 << 21
+#: Hashes of features that are held before they are counted.
+PENDING = 1 << 20
 PREFIXES = (4, 5)
 GRADES = 4
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -44,13 +44,28 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", max_chars: int = MAX_FIT_CHARS) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts that aren't held out, chosen by a hash of the id.
-    The ids are chosen first, so that what is broadcast has at most that many rows."""
+def fit_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = FIT_CHARS) -> tuple[list[str], np.ndarray]:
+    """At most ``rows`` labelled texts that aren't held out, in the order of a hash of the id, and of these
+    what fits into ``chars`` characters: a text longer than what is left is passed over.  Null texts
+    are empty ones.  The ids are chosen first and lengths are looked up before texts, so that what
+    is broadcast or collected has these bounds."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("fit_id"), F.col(label).cast("int").alias("fit_label")).orderBy(F.xxhash64("fit_id"), "fit_id", "fit_label").limit(rows)
-    found = docs.select(F.col(id_col).alias("fit_doc"), F.col(text_col).alias("fit_text")).where(F.length("fit_text") <= max_chars).join(F.broadcast(chosen), F.col("fit_doc") == F.col("fit_id")).select("fit_doc", "fit_label", "fit_text")
-    got = sorted(found.limit(rows).collect())
-    return [r.fit_text for r in got], np.array([r.fit_label for r in got], np.int64)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("fit_doc"), F.length(text).alias("n"), F.xxhash64(text).alias("mark"))
+    sized = slim.join(F.broadcast(chosen.select("fit_id").distinct()), F.col("fit_doc") == F.col("fit_id")).groupBy("fit_doc").agg(F.min(F.struct("n", "mark")).alias("one"))
+    picked, left = [], chars
+    for r in sorted(sized.select("fit_doc", "one.*", F.xxhash64("fit_doc").alias("h")).collect(), key=lambda r: (r.h, r.fit_doc)):
+        if r.n <= left:
+            picked.append((r.fit_doc, r.n, r.mark))
+            left -= r.n
+    if not picked:
+        return [], np.zeros(0, np.int64)
+    kind = docs.schema[id_col].dataType.simpleString()
+    keys = docs.sparkSession.createDataFrame(picked, f"fit_id {kind}, n int, fit_mark long").drop("n")
+    bodies = docs.select(F.col(id_col).alias("fit_doc"), text.alias("fit_text")).join(F.broadcast(keys), (F.col("fit_doc") == F.col("fit_id")) & (F.xxhash64("fit_text") == F.col("fit_mark")))
+    texts = dict(bodies.groupBy("fit_doc").agg(F.min("fit_text").alias("fit_text")).collect())
+    got = sorted((r.fit_id, r.fit_label) for r in chosen.collect() if r.fit_id in texts)
+    return [texts[i] for i, _ in got], np.array([y for _, y in got], np.int64)
 
 
 def features(text: str | None) -> set[str]:
@@ -119,36 +134,51 @@ def _deviations(k1, k0, n1: int, n0: int):
     return (k1 / n1 - k0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
 
 
-def evident(texts: list[str], toxic: np.ndarray, most: int) -> tuple[list[str], list[list[str]]]:
+def _counted(held: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct numbers and how often each came, from rows of (numbers, counts)."""
+    every, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return [(every, np.bincount(back, np.concatenate([n for _, n in held]), len(every)).astype(np.int64))]
+
+
+def evident(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[list[str]]]:
     """Features whose share of toxic texts differs from that of clean ones by more than
     Z_LEAST deviations, in at least 3 texts, the most telling first; and those of every text.
 
-    The first pass counts features by hash, so that only those that can be telling are ever
-    held by name; the second counts these exactly.
+    Features are counted by their 64-bit hashes, so that only the telling ones are held by name.
     """
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
-    counts = np.zeros((2, BINS), np.int32)
-    for text, y in zip(texts, toxic.tolist(), strict=True):
-        counts[y][np.unique(np.fromiter((zlib.crc32(f.encode()) % BINS for f in features(text)), np.int64))] += 1
-    able = (counts.sum(0) > 2) & (np.abs(_deviations(counts[1], counts[0], n1, n0)) > Z_LEAST)
-    found = [[f for f in features(text) if able[zlib.crc32(f.encode()) % BINS]] for text in texts]
-    exact = [Counter(), Counter()]
-    for fs, y in zip(found, toxic.tolist(), strict=True):
-        exact[y].update(fs)
-    telling = []
-    for f in exact[0].keys() | exact[1].keys():
-        z = abs(float(_deviations(exact[1][f], exact[0][f], n1, n0)))
-        if z > Z_LEAST and exact[1][f] + exact[0][f] > 2:
-            telling.append((-z, f))
-    return [f for _, f in sorted(telling)[:most]], found
-
-
-def train(texts: list[str], toxic: np.ndarray, max_features: int = MAX_FEATURES, rounds: int = 150, l2: float = 1e-4) -> OrdinalModel:
+    counts = []
+    for label in (0, 1):
+        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        for text in (t for t, y in zip(texts, toxic.tolist(), strict=True) if y == label):
+            own = np.fromiter((xxhash.xxh64_intdigest(f) for f in features(text)), np.uint64)
+            held.append((own, np.ones(len(own), np.int64)))
+            size += len(own)
+            if size > PENDING:
+                held, size = _counted(held), 0
+        counts.append(_counted(held)[0])
+    every = np.union1d(counts[0][0], counts[1][0])
+    k0, k1 = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for k, (keys, n) in zip((k0, k1), counts, strict=True):
+        k[np.searchsorted(every, keys)] = n
+    z = _deviations(k1, k0, n1, n0)
+    able = (k0 + k1 > 2) & (np.abs(z) > Z_LEAST)
+    telling = dict(zip(every[able].tolist(), np.abs(z[able]).tolist(), strict=True))
+    names: dict[str, float] = {}
+    found = []
+    for text in texts:
+        own = [(f, h) for f in features(text) if (h := xxhash.xxh64_intdigest(f)) in telling]
+        names.update((f, telling[h]) for f, h in own)
+        found.append([f for f, _ in own])
+    return sorted(names, key=lambda f: (-names[f], f)), found
+
+
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 150, l2: float = 1e-4) -> OrdinalModel:
     """Fits grades made from 0/1 labels; without both labels no feature has weight."""
     if len(texts) == 0 or len(set(toxic.tolist())) < 2:
         return OrdinalModel({}, [3.0, 4.0, 5.0])
-    kept, found = evident(texts, toxic, max_features)
+    kept, found = evident(texts, toxic)
     place = {f: i for i, f in enumerate(kept)}
     rows = [np.array(sorted(place[f] for f in fs if f in place), np.int64) for fs in found]
     w, _ = _fit(rows, toxic, len(kept), 2, rounds, l2)
@@ -162,8 +192,8 @@ def train(texts: list[str], toxic: np.ndarray, max_features: int = MAX_FEATURES,
 
 def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, severity double, grade int, toxic int): expected grade, likeliest
-    grade, and 1 where a toxic grade is likelier than none.  The model, of at most
-    MAX_FEATURES weights, travels with the task."""
+    grade, and 1 where a toxic grade is likelier than none.  The model, of as many weights as
+    a bounded sample has telling features, travels with the task."""
     prepare_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

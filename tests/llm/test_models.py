@@ -83,3 +83,94 @@ def test_scores_order_grades():
     model = toxicity.OrdinalModel({"a": 2.0, "b": 4.0}, [1.0, 3.0, 5.0])
     expected = [sum(k * p for k, p in enumerate(model.grades(model.score(t)))) for t in ("", "a", "b", "a b")]
     assert expected == sorted(expected) and abs(sum(model.grades(2.0)) - 1) < 1e-12
+
+
+def brute_score(net, text):
+    """The network by its definition: every window of every chunk of the whole text, one at a time."""
+    raw = (text or "").encode()
+    n = (len(raw) + quality.WIDTH + quality.CHUNK - 1) // quality.CHUNK
+    data = raw.ljust(n * quality.CHUNK + quality.WIDTH, b"\0")
+    chunks = []
+    for c in range(n):
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(c * quality.CHUNK, (c + 1) * quality.CHUNK):
+            if at + quality.WIDTH <= n * quality.CHUNK:
+                seen = np.concatenate([net.embed[b] for b in data[at : at + quality.WIDTH]]).astype(np.float64)
+                best = np.maximum(best, seen @ net.filters)
+        chunks.append(np.maximum(best + net.bias, 0))
+    summary = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0), np.min(chunks, 0)])
+    z = np.tanh(summary @ net.w1 + net.b1) @ net.w2 + net.b2
+    return float(1 / (1 + np.exp(-z[0])))
+
+
+def test_quality_against_direct_convolution(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 1024)
+    r = random.Random(9)
+    texts = [None, "", "a", "x" * 504, "y" * 505, "é" * 256] + ["".join(r.choice("abcü %$\n") for _ in range(r.randint(1, 3000))) for _ in range(12)]
+    net = quality.train(texts, np.arange(len(texts)) % 2, steps=5, batch=6)
+    assert np.allclose(quality.score_texts(net, texts), [brute_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_quality_gradient_reaches_filters():
+    """Training alone separates two patterns at odd places, and the filters carry it."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(50, 1500))) for _ in range(60)]
+    texts = [t + ("#%&" if k % 2 else "") + " tail" for k, t in enumerate(texts)]
+    net = quality.train(texts, np.arange(60) % 2, steps=150)
+    scores = quality.score_texts(net, texts)
+    assert scores[1::2].min() > 0.5 > scores[::2].max()
+    net.filters[:] = 0
+    assert np.ptp(quality.score_texts(net, texts)) < 1e-6
+
+
+def test_ordinal_fit_against_independent_likelihood():
+    """No small step from the fitted parameters lowers the penalised likelihood, written out here."""
+    r = np.random.default_rng(1)
+    x = (r.random((200, 3)) < 0.5).astype(float)
+    grades = np.clip(np.floor(x @ [1.5, -1.0, 0.5] + r.logistic(size=200) + 1), 0, 3).astype(np.int64)
+    rows = [np.flatnonzero(v) for v in x]
+    w, theta = toxicity._fit(rows, grades, 3, 4, 3000, 1e-4)
+
+    def loss(w, theta):
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        upto = lambda t: 1 / (1 + np.exp(-(t - x @ w)))
+        with np.errstate(over="ignore"):
+            return -np.mean(np.log(upto(edges[grades + 1]) - upto(edges[grades]))) + 0.5e-4 * (w @ w)
+
+    best = loss(w, theta)
+    assert theta.tolist() == sorted(theta.tolist())
+    for k in range(3):
+        for step in (-0.02, 0.02):
+            assert loss(w + step * np.eye(3)[k], theta) > best - 1e-9 and loss(w, theta + step * np.eye(3)[k]) > best - 1e-9
+    model = toxicity.OrdinalModel({"a": float(w[0]), "b": float(w[1])}, theta.tolist())
+    for text, f in (("a", w[0]), ("b a", w[0] + w[1]), ("", 0.0)):
+        upto = [*(1 / (1 + np.exp(-(t - f))) for t in theta), 1.0]
+        assert np.allclose(model.grades(model.score(text)), np.diff([0.0, *upto]))
+
+
+def test_features_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(toxicity, "PENDING", 50)
+    r = random.Random(6)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmno"]
+    texts = [" ".join(r.choices(words, k=8) + (["vile", "vilely"] if k % 3 == 0 else ["kind"])) for k in range(300)]
+    toxic = np.array([int(k % 3 == 0) for k in range(300)])
+    kept, found = toxicity.evident(texts, toxic)
+    want = set()
+    for f in set().union(*map(toxicity.features, texts)):
+        k1, k0 = (sum(f in toxicity.features(t) for t, y in zip(texts, toxic, strict=True) if y == label) for label in (1, 0))
+        if k1 + k0 > 2 and abs(toxicity._deviations(k1, k0, 100, 200)) > toxicity.Z_LEAST:
+            want.add(f)
+    assert set(kept) == want and {"vile", "kind"} <= want
+    assert [set(f) for f in found] == [want & toxicity.features(t) for t in texts]
+
+
+def test_rows_to_learn_from(frame, spark):
+    """Nulls count as empty; repeated ids give one text; the bound on characters passes over long ones."""
+    ids = [i for i in range(1, 200) if not held(i)][:6]
+    texts = ["first", None, "x" * 500, "twice the longer", "twice", "last one"]
+    docs = frame(texts, [ids[0], ids[1], ids[2], ids[3], ids[3], ids[4]])
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*ids, None]], "doc_id long, quality int, toxic int")
+    got, y = toxicity.fit_rows(docs, labels, "quality", 10)
+    assert sorted(got) == ["", "first", "last one", "twice", "x" * 500] and y.tolist() == [1] * 5
+    assert sorted(toxicity.fit_rows(docs, labels, "quality", 10, chars=100)[0]) == ["", "first", "last one", "twice"]
+    assert toxicity.fit_rows(frame([]), labels, "quality", 10)[0] == []
