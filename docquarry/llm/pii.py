@@ -9,7 +9,13 @@ found in the rewritten text are projected back to source spans.
 Offsets count code points, ends are exclusive.  A null or empty text has no
 spans.  Work and memory grow in proportion to the text: no pattern can scan a
 run of characters more than a few times.  A rewritten finding that lies inside a
-plain one of its kind is not reported again.
+plain one of its kind, or a spelled number that holds a plain one, is not reported again.
+
+What a disguise may look like, beside what the names of the host allow (63 characters of a label, 64 before the
+at): an address in words has up to 16 parts on each side; numbers without a plus have 7 to 15
+digits, or 12 to 19 that pass Luhn's test, with a spelled one among them, and don't just count up or down.  Words
+for both the at and a dot are an address whatever its ending but a plain English word; a plain "at" before
+a plain host is one only after a word for mail or where what precedes it is no word of letters.
 """
 
 from __future__ import annotations
@@ -141,7 +147,7 @@ DIGIT_WORDS = {
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _ITEM = rf"(?:\b{_WORD}\b|[0-9]+)"
 # Runs of spelled and written digits; the look-ahead makes most words fail at once.
-_SPELLED = re.compile(rf"(?:(?:\+|\bplus\b)[ ]?)?(?<![^\W_]){_ITEM}(?:[ ,.()/\n-]{{1,3}}{_ITEM})++", re.I)
+_SPELLED = re.compile(rf"(?:(?:\+|\bplus\b)[ ]?)?(?<![^\W_]){_ITEM}(?:[ ,.()/\n-]{{1,3}}(?:(?:dash|hyphen|tiret|guion|bindestrich)[ ]{{1,3}})?{_ITEM})++", re.I)
 _FIGURES = re.compile(r"[0-9]")
 _BREAKS = str.maketrans(dict.fromkeys(",.()/-+\n\t", " "))
 _TLD = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|de|fr|es|uk|us|eu|ch|at|it|nl|ru|example|test)"
@@ -149,12 +155,17 @@ _TLD = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|de|fr|es
 _COUNTRY = "(?:" + "|".join("ac ae af ag ao aq ar ax az ba bb bd bf bg bh bi bj bm bn br bs bt bw bz ca cc cd cf cg ck cl cm cn cr cu cv cw cx cy cz dj dk dm dz ec ee eg er et fi fj fk fm fo ga gb gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hm hn hr ht hu id ie il iq ir je jm jo jp ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lv ly mc md mg mh mk ml mm mn mo mp mq mr ms mt mv mw mx mz nc nf ng ni np nr nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa ro rs rw sb sc sd sg sh si sj sk sl sm sn sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tw tz ua ug uy uz va vc vg vi vn vu wf ws ye yt za zm zw".split()) + ")"
 #: Words before "dot" in a sentence that are no host: "look at the dot there".
 _NO_HOST = frozenset("a an the this that these those which what any some each every one no another my your his her its our their".split())
+#: Endings that are words of a sentence and of no host: "meet me at noon dot the".
+_NO_ENDING = _NO_HOST | frozenset("and of or but with from was were then than when where who how not all one two".split())
+#: Words before the at that stand for no mailbox, and words that announce one.
+_NO_BOX = frozenset("me us him her them you it he she we they him one all look shop buy was were is are be been meet work works worked live lives lived stay stays stayed only out up down back now then there here not and or".split())
+_MAIL_CUE = re.compile(r"(?:e-?mails?|mail|mailto|mailbox|address|adresse|correo|courriel|contact|kontakt|contacto|contacter|contacte)[ \t]*[: \t](?:(?:is|at|me|us|to|est|ist|es)[ \t]*[: \t])?[ \t]*$", re.I)
 _AT_WORD, _DOT_WORD = "(?:at|arroba|arobase|klammeraffe)", "(?:dot|punkt|point|punto|period)"
 _BRACKET_AT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*|[ \t]*[_*-]+{_AT_WORD}[_*-]+[ \t]*", re.I)
 _BRACKET_DOT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_DOT_WORD}|\.)[ \t]*[\])}}>][ \t]*|[ \t]*[_*-]+{_DOT_WORD}[_*-]+[ \t]*", re.I)
 _SPACED_AT = re.compile(r"[ \t]+@[ \t]*|[ \t]*@[ \t]+")
 # "name at host dot tld": the whole shape is asked for, words alone mean nothing.
-_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}+(?:[ \t]+{_DOT_WORD}[ \t]+[A-Za-z0-9_%+-]{{1,64}}+){{0,3}})(?:[ \t]+{_AT_WORD}[ \t]+|@)([A-Za-z0-9-]{{1,63}}+)((?:(?:[ \t]+{_DOT_WORD}[ \t]+|\.)[A-Za-z0-9-]{{1,63}}+){{1,5}})(?![A-Za-z0-9-])", re.I)
+_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}+(?:[ \t]+{_DOT_WORD}[ \t]+[A-Za-z0-9_%+-]{{1,64}}+){{0,15}})(?:[ \t]+{_AT_WORD}[ \t]+|@)([A-Za-z0-9-]{{1,63}}+)((?:(?:[ \t]+{_DOT_WORD}[ \t]+|\.)[A-Za-z0-9-]{{1,63}}+){{1,15}})(?![A-Za-z0-9-])", re.I)
 _DOT_SPLIT = re.compile(rf"[ \t]+{_DOT_WORD}[ \t]+", re.I)
 _ENDS_IN_TLD = re.compile(rf"(?:\.|[ \t])(?:{_TLD}|{_COUNTRY})$", re.I)
 _ENDING = re.compile(r"(?:\.|[ \t])[a-z]{2,24}$", re.I)
@@ -166,17 +177,17 @@ _GROUP = rf"[0-9]++|{_ONE}(?:[ -]{_ONE}){{0,2}}+"
 _WORDED_IP = re.compile(rf"(?<![^\W_])(?:{_GROUP})(?:(?:[ \t]+{_DOT_WORD}[ \t]+|[ \t]*\.[ \t]*)(?:{_GROUP})){{3}}(?![^\W_])", re.I)
 _WORDED_DOT = re.compile(rf"(?<=[0-9])[ \t]+{_DOT_WORD}[ \t]+(?=[0-9])", re.I)
 _HINTS = tuple("dot punkt point punto period".split())
-_AT_HINTS = ("[at]", "(at)", "{at}", "<at>", "[@]", "(@)", "arroba", "arobase", "klammeraffe", "_at_", "-at-", "*at*", "[ at ]", "( at )", "{ at }", " @", "@ ")
+_AT_HINTS = ("[.]", "(.)", "{.}", "<.>", "[ . ]", "( . )", "[at]", "(at)", "{at}", "<at>", "[@]", "(@)", "arroba", "arobase", "klammeraffe", "_at_", "-at-", "*at*", "[ at ]", "( at )", "{ at }", " @", "@ ")
 
 
-_RUN_ITEM = re.compile(r"\+|[^\W\d_]+|[0-9]+")
+_RUN_ITEM = re.compile(r"\+|(?!(?:dash|hyphen|tiret|guion|bindestrich)\b)[^\W\d_]+|[0-9]+", re.I)
 _DATE = re.compile(r"(?:[0-9]{4}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ][0-9]{4}|(?:(?:1[0-9]|20)[0-9]{2}[-/. ,()]*)+)")
 #: Separators that two numbers stand between, strongest first.
 _BETWEEN = (re.compile(r"\n"), re.compile(r"[,/]"), re.compile(r"[^+].*", re.S))
 
 
 def _digits_of(run: str) -> str | None:
-    words = re.findall(r"[^\W\d_]+|[0-9]+", run.lower())
+    words = [w for w in re.findall(r"[^\W\d_]+|[0-9]+", run.lower()) if w in DIGIT_WORDS or w.isdigit() or w == "plus"]
     spelled = [w for w in words if w in DIGIT_WORDS]
     digits = "".join(DIGIT_WORDS.get(w, w if w.isdigit() else "") for w in words)
     if not spelled or len(set(spelled)) < 2 and (len(spelled) == len(words) or len(set(digits)) < 2):
@@ -188,8 +199,16 @@ def _digits_of(run: str) -> str | None:
     return ("+" if run.lstrip()[:1] == "+" or words[0] == "plus" else "") + digits
 
 
+def _counts(digits: str) -> bool:
+    """Whether the digits only count up or down by one."""
+    steps = {int(b) - int(a) for a, b in zip(digits, digits[1:], strict=False)}
+    return steps in ({1}, {-1})
+
+
 def _kind_of(digits: str) -> int | None:
     n = len(digits.lstrip("+"))
+    if digits[0] != "+" and _counts(digits):
+        return None
     if 12 <= n <= 19 and digits[0] != "+" and luhn(digits):
         return 2
     return 3 if 7 <= n <= 15 else None
@@ -268,7 +287,14 @@ def _worded(m: re.Match) -> str | None:
     plain_dots, plain_at = "." in m[3] and not _DOT_SPLIT.search(m[3]), "@" in m[0]
     if plain_dots and plain_at:
         return None
-    if not plain_at and not _ENDS_IN_TLD.search(m[3]):
+    if plain_dots and _PLAIN_AT.search(m[0]):  # nothing but "at" is in words
+        if not _ENDS_IN_TLD.search(m[3]) or m[1].lower() in _NO_BOX:
+            return None
+        if m[1].isalpha() and not _MAIL_CUE.search(m.string, max(0, m.start() - 40), m.start()):
+            return None
+    elif not plain_at and (m[3].lower().split()[-1].split(".")[-1] in _NO_ENDING or m[1].lower() in _NO_BOX):
+        return None
+    elif not plain_at and not _ENDS_IN_TLD.search(m[3]):
         # words for both the at and a dot tell enough, but for "at one point in time"
         sentence = _PLAIN_AT.search(m[0]) and (m[2].lower() in _NO_HOST or _POINT.search(m[3]))
         if plain_dots or sentence or not _ENDING.search(m[3]):
@@ -303,7 +329,7 @@ def hidden_spans(text: str) -> list[Span]:
         aligned = aligned.rewrite(_BRACKET_AT, lambda _: "@").rewrite(_BRACKET_DOT, lambda _: ".").rewrite(_WORDED, _worded)
         if "@" in aligned.text and _SPACED_AT.search(aligned.text):
             aligned = aligned.rewrite(re.compile(rf"(?<=[A-Za-z0-9])[ \t]*@[ \t]*(?=[A-Za-z0-9-]+\.(?:[A-Za-z0-9-]+\.)*(?:{_TLD}|{_COUNTRY})\b)", re.I), lambda _: "@")
-    if any(h in aligned.text.lower() for h in _HINTS):
+    if spelled or any(h in aligned.text.lower() for h in _HINTS):
         aligned = aligned.rewrite(_WORDED_IP, _worded_ip).rewrite(_WORDED_DOT, lambda _: ".")
     found: list[Span] = []
     if spelled:
@@ -334,7 +360,10 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     added = []
     for start, kind, end in hidden:
         k = int(np.searchsorted(starts[kind], start, "right")) - 1
-        if k < 0 or ends[kind][k] < end:
+        inside = k >= 0 and ends[kind][k] >= end
+        first = int(np.searchsorted(starts[kind], start))
+        holds = kind >= 2 and first < len(starts[kind]) and ends[kind][first] <= end
+        if not inside and not holds:
             added.append((start, kind, end))
     return base, sorted({*base, *added})
 

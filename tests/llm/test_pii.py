@@ -129,3 +129,51 @@ def test_spelled_lists_take_little_time():
 def test_many_zeros_are_a_number():
     text = "0" * 5000 + ".1.1.1"
     assert (0, 1, len(text)) in pii.base_spans(text) and pii.redact(text) == "[IP]"
+
+
+def planted():
+    """Disguised identifiers by kind, each in a sentence, made by rule."""
+    r = random.Random(12)
+    figures = "zero one two three four five six seven eight nine".split()
+    glyph = {"a": "а", "e": "е", "o": "о", "c": "с", "0": "０", "1": "１", "2": "２"}
+    wide = lambda t: "".join(glyph.get(c, c) for c in t)
+    spell = lambda d: " ".join(figures[int(c)] for c in d)
+    for _ in range(60):
+        name, host = r.choice(["jane.doe", "kim7", "coolbox", "o_neil"]), r.choice(["example", "corner-shop", "host9"])
+        end = r.choice(["com", "pl", "photography", "co.uk", "museum"])
+        worded = end.replace(".", " dot ")
+        yield from (("email", x) for x in (f"{name} at {host} dot {worded}", f"{name}[at]{host}[dot]{end.replace('.', '[dot]')}", f"{name} (at) {host} (dot) {end.replace('.', ' (dot) ')}", wide(f"{name}@{host}.{end}"), f"{name.replace('.', ' dot ')} AT {host} DOT {worded}", f"{name} _at_ {host}.com"))
+        parts = [str(r.randint(0, 255)) for _ in range(4)]
+        yield from (("ip", x) for x in ("[.]".join(parts), " dot ".join(parts), "(dot)".join(parts), " [dot] ".join(parts), wide(".".join(parts)), " dot ".join(map(spell, parts)), " [dot] ".join(map(spell, parts))) if any(c in x for c in "[(doсо０１２"))
+        digits = "".join(r.choice("0123456789") for _ in range(r.randint(9, 11)))
+        yield from (("phone", x) for x in (spell(digits), "plus " + spell(digits), spell(digits[:3]) + " dash " + spell(digits[3:]), spell(digits[:3]) + ", " + spell(digits[3:])))
+        card = "4" + "".join(r.choice("0123456789") for _ in range(14))
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        yield from (("card", x) for x in (spell(card), wide(card) if set(card) & set("012") else spell(card)))
+
+
+def test_planted_disguises_are_found():
+    hits, every = {}, {}
+    for kind, hidden in planted():
+        text = f"please note: {hidden} ; thanks"
+        spans = pii.find_spans(text)[1]
+        every[kind] = every.get(kind, 0) + 1
+        hits[kind] = hits.get(kind, 0) + any(pii.KINDS[k] == kind and s <= 13 and e >= 13 + len(hidden) for s, k, e in spans)
+    assert {k: hits[k] / n for k, n in every.items()} == pytest.approx(dict.fromkeys(every, 1.0)), hits
+
+
+CLEAN = [
+    "count one two three four five six seven", "eight seven six five four three two one lift off", "meet him at amazon.com now", "write to him at gmail.com now",
+    "the team at example.com is here", "look at amazon.com or shop at bestbuy.com", "meet me at noon dot the i and go", "we met at one point and at another dot on the map", "version 1 dot 2 dot 3",
+    "call 555-123-4567 now", "in 1999 one of nine", "un deux trois", "arrive at 10.30 at station.Then go", "I was at work.com pany", "they live at home dot and away", "at the end of the period we saw a dot",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_set_has_no_hits(text):
+    assert pii.find_spans(text) == ([], [])
+
+
+def test_word_after_a_plain_number_is_not_of_it():
+    text = "ring +1 (848) 555-1373 Un jour"
+    assert pii.find_spans(text)[1] == [(5, 3, 22)]
