@@ -9,7 +9,19 @@ from docquarry.llm import version_sketch as vs
 
 
 def paragraphs(text):
-    return set(re.findall(r"[^\n]{1,192}", text))
+    quarter = [*range(0x21, 0x7F, 4), 0x20]
+    low, high = range(0x80, 0x800, 64), range(0x800, 0xD800, 4096)
+
+    def marked(c):
+        c = ord(c)
+        return c in quarter or any(x <= c < x + 16 for x in low) or any(x <= c < x + 1024 for x in high)
+
+    found, start = set(), 0
+    for at in range(1, len(text) + 1):
+        if (at - start > 96 and text[at - 1] == "\n") or (at - start >= 99 and all(map(marked, text[at - 3 : at]))):
+            found.add(text[start:at])
+            start = at
+    return found | {text[start:]} - {""}
 
 
 def jaccard(a, b):
@@ -53,11 +65,32 @@ def test_peeling_recovers_digests(spark):
 def test_overfull_sketches_are_retried_larger(spark):
     sets = [(list(range(n)), list(range(n // 2, n + m))) for n, m in ((40, 0), (200, 7), (500, 500), (0, 300))]
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(sets)], "k int, a array<long>, b array<long>")
-    first = vs.subtract(vs.sketch(F.col("a"), F.lit(1)), vs.sketch(F.col("b"), F.lit(1)))
-    got = {r.k: r.d for r in rows.select("k", vs.differing(F.col("a"), F.col("b"), first).alias("d")).collect()}
+    rows = rows.select("*", vs.peel(vs.subtract(vs.sketch(F.col("a"), F.lit(1)), vs.sketch(F.col("b"), F.lit(1))), F.lit(1)).alias("first"))
+    got = {r.k: r.d for r in rows.select("k", vs.differing(F.col("a"), F.col("b"), F.col("first")).alias("d")).collect()}
     assert got == {k: len(set(a) ^ set(b)) for k, (a, b) in enumerate(sets)}
 
 
+def test_exact_where_no_retry_is_left(spark, monkeypatch):
+    monkeypatch.setattr(vs, "RETRIES", 1)
+    test_overfull_sketches_are_retried_larger(spark)
+
+
+def test_edits_inside_one_long_line_are_graded(frame, collected):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(words)
+    texts = [text, "one more word " + text, " ".join(words[:1500] + ["in", "between"] + words[1500:]), "文字" + text]
+    got = collected(vs.version_report(frame(texts)))
+    assert all(row["near_next"] > 0.9 for row in got), got
+
+
+def test_long_texts_take_time_in_proportion(frame, collected):
+    r = random.Random(1)
+    texts = ["\n".join(f"line {r.random()}" for _ in range(60_000)) for _ in range(2)]
+    for row, want in zip(collected(vs.version_report(frame(texts))), expected(texts), strict=True):
+        assert row["near_edited"] == pytest.approx(want[2]) and row["near_next"] == 0.0
+
+
 def test_small_tables_nulls_and_repeats(frame, collected):
     assert vs.version_report(frame([])).count() == 0
     alone = collected(vs.version_report(frame(["abcdefgh"])))
