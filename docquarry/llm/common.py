@@ -18,7 +18,7 @@ PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of one Arrow batch: they bound a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = "2000", "32m"
+BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,7 @@ def prepare_workers(spark: SparkSession) -> None:
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
+    env["OPENBLAS_NUM_THREADS"] = "1"  # a worker has one core
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -37,7 +37,7 @@ from docquarry.llm.common import prepare_workers
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Bytes of a worker's memo, with what Python takes for an entry; when full it is emptied.  Longer words pass.
-MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 96_000_000, 180, 64
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 48_000_000, 180, 64
 #: Characters of text whose words are learnt together.
 LEARN_CHARS = 1_000_000
 
