@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, spark.checkpoint.dir; one of this machine only
+    where nothing but this machine is used."""
+    conf = spark.sparkContext.getConf()
+    if shared := conf.get("spark.checkpoint.dir"):
+        return shared
+    if not conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/docquarry-checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; a local one only where none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/docquarry-checkpoints")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

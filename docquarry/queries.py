@@ -8,7 +8,6 @@ place, so that both sides can be compared without order.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -16,7 +15,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.document import Document
 from docquarry.functions import variants as V
+from docquarry.functions.ordering import shared_folder
 from docquarry.operators.find import DocumentView
 from docquarry.operators.update import compile_update
 from docquarry.sources import json_io
@@ -91,7 +92,7 @@ _find("gt_string", "customer", {"$gt": {"c_mktsegment": "FURNITURE"}}, ["c_mktse
 _find("lt_string", "customer", {"$lt": {"c_mktsegment": "FURNITURE"}}, ["c_mktsegment"], "c_mktsegment < 'FURNITURE'")
 _find("gt_timestamp", "events", {"$gt": {"ts": "2024-01-15T00:00:00"}}, ["event_type", "value"], "ts > TIMESTAMP '2024-01-15 00:00:00'")
 _find("and_range", "orders", {"$and": [{"$gt": {"o_totalprice": 100000.0}}, {"$eq": {"o_orderstatus": "F"}}]}, ["o_orderstatus", "o_totalprice"], "o_totalprice > 100000.0 AND o_orderstatus = 'F'")
-_find("and_three", "part", {"$and": [{"$gt": {"p_size": 10}}, {"$lt": {"p_size": 20}}, {"$gt": {"p_retailprice": 1000.0}}]}, ["p_size", "p_retailprice"], "p_size > 10 AND p_size < 20 AND p_retailprice > 1000.0")
+_find("and_three", "part", {"$and": [{"$gt": {"p_size": 10}}, {"$lt": {"p_size": 20}}, {"$gt": {"p_retailprice": 910.0}}]}, ["p_size", "p_retailprice"], "p_size > 10 AND p_size < 20 AND p_retailprice > 910.0")
 _find("and_multi_op_item", "part", {"$and": [{"$gt": {"p_size": 10}, "$lt": {"p_size": 13}}]}, ["p_size"], "p_size > 10 AND p_size < 13")
 _find("and_disjoint_then_match", "orders", {"$and": [{"$eq": {"o_orderstatus": "F"}}, {"$eq": {"o_orderstatus": "O"}}, {"$gt": {"o_totalprice": 1.0}}]}, ["o_orderstatus"], "o_orderstatus = 'F' AND o_orderstatus = 'O'")
 _find("or_eq", "orders", {"$or": [{"$eq": {"o_orderstatus": "P"}}, {"$eq": {"o_orderpriority": "1-URGENT"}}]}, ["o_orderstatus", "o_orderpriority"], "o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'")
@@ -238,8 +239,7 @@ _update(
 
 def _scratch(spark: SparkSession) -> str:
     """A folder that the driver and all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared}/docquarry-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="docquarry-")
+    return f"{shared_folder(spark)}/docquarry-{uuid.uuid4().hex}"
 
 
 def _store(spark: SparkSession) -> Database:
@@ -338,6 +338,111 @@ _register("list_collections", _list_collections, "SELECT * FROM (VALUES ('orders
 _register("list_indexes", _list_indexes, "SELECT * FROM (VALUES ('users', 'age'), ('users', 'name')) AS t(collection, field)")
 
 
+# -- databases, cursors, documents --
+
+
+def _told(spark: SparkSession, *steps: Any) -> DataFrame:
+    return spark.createDataFrame([(k, str(v)) for k, v in enumerate(steps)], "step int, told string")
+
+
+def _nations(spark: SparkSession, sf_dir: str):
+    own = _store(spark).create_collection("nations")
+    own.put(V.documents_from(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey"))
+    return own
+
+
+def _walked(spark: SparkSession, cursor: Any, most: int) -> list[tuple[int, str, str]]:
+    rows: list[tuple[int, str, str]] = []
+    while cursor.is_valid() and len(rows) < most:
+        rows.append((len(rows), cursor.current_id(), cursor.current()["n_name"]))
+        cursor.next()
+    return rows
+
+
+_WALK = "place int, _id string, n_name string"
+_NATIONS = "SELECT CAST(ROW_NUMBER() OVER (ORDER BY CAST(n_nationkey AS VARCHAR)) - 1 AS INTEGER) AS place, CAST(n_nationkey AS VARCHAR) AS _id, n_name FROM nation"
+
+
+def _cursor_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open, valid, next, current and id over a whole collection."""
+    return spark.createDataFrame(_walked(spark, _nations(spark, sf_dir).cursor(), 10**9), _WALK)
+
+
+def _cursor_seek_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cursor = _nations(spark, sf_dir).cursor()
+    cursor.seek("2")
+    return spark.createDataFrame(_walked(spark, cursor, 4), _WALK)
+
+
+def _cursor_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cursor = _nations(spark, sf_dir).cursor()
+    cursor.seek("zzz")
+    past = cursor.is_valid()
+    cursor.reset()
+    return spark.createDataFrame(_walked(spark, cursor, 3 if not past else 0), _WALK)
+
+
+_register("cursor_walk", _cursor_walk, _NATIONS)
+_register("cursor_seek_walk", _cursor_seek_walk, f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY _id) - 1 AS INTEGER) AS place, _id, n_name FROM ({_NATIONS}) WHERE _id >= '2' ORDER BY _id LIMIT 4")
+_register("cursor_reset", _cursor_reset, f"SELECT * FROM ({_NATIONS}) WHERE place < 3")
+
+
+def _db_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open, close and open again: what exists, and that indexes are kept."""
+    database = Database(spark, _scratch(spark))
+    before = database.is_open
+    database.open()
+    database.create_collection("users").create_index("age")
+    opened, there, gone = database.is_open, database.collection_exists("users"), database.collection_exists("none")
+    database.close()
+    closed = database.is_open
+    database.open()
+    return _told(spark, before, opened, there, gone, closed, database.is_open, database.get_collection("users").index_names(), database.get_collection("none"))
+
+
+_register("db_states", _db_states, "SELECT * FROM (VALUES (0, 'False'), (1, 'True'), (2, 'True'), (3, 'False'), (4, 'False'), (5, 'True'), (6, '[''age'']'), (7, 'None')) AS t(step, told)")
+
+
+def _db_read_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The database's own reading of a collection: ten documents by id."""
+    own = _nations(spark, sf_dir)
+    return spark.createDataFrame([(d["_id"], d["n_name"]) for d in own.database.read_all_documents("nations")], "_id string, n_name string")
+
+
+def _engine_get_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir).frame().select("_id", F.try_variant_get("data", "$.n_name", "string").alias("n_name"))
+
+
+_register("db_read_all", _db_read_all, f"SELECT _id, n_name FROM ({_NATIONS}) WHERE place < 10")
+_register("engine_get_all", _engine_get_all, f"SELECT _id, n_name FROM ({_NATIONS})")
+
+
+def _generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without an id get one of their own, which is in the document too."""
+    own = _store(spark).create_collection("c")
+    names = [r.r_name for r in table(spark, sf_dir, "region").collect()]
+    ids = own.create_documents([("", {"name": n}) for n in names])
+    inside = F.try_variant_get("data", "$._id", "string") == F.col("_id")
+    return own.frame().select(F.try_variant_get("data", "$.name", "string").alias("r_name"), F.length("_id").alias("long"), inside.alias("inside"), F.lit(len(set(ids))).alias("ids"))
+
+
+_register("generated_ids", _generated_ids, "SELECT r_name, CAST(12 AS INTEGER) AS long, true AS inside, CAST((SELECT COUNT(*) FROM region) AS INTEGER) AS ids FROM region")
+
+
+def _accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's fields read and set, and its JSON there and back."""
+    rows = []
+    for r in table(spark, sf_dir, "region").collect():
+        one = Document(str(r.r_regionkey), {"name": r.r_name})
+        one.set_value("size", {"n": len(r.r_name)})
+        again = Document.from_json(one.id, one.to_json())
+        rows.append((again.id, again.get_value("name"), again.get_value("size")["n"], again.has_field("size"), again.has_field("none"), one.to_json()))
+    return spark.createDataFrame(rows, "_id string, r_name string, n int, has boolean, hasnt boolean, json string")
+
+
+_register("accessors", _accessors, """SELECT CAST(r_regionkey AS VARCHAR) AS _id, r_name, CAST(length(r_name) AS INTEGER) AS n, true AS has, false AS hasnt, '{"name": "' || r_name || '", "size": {"n": ' || length(r_name) || '}}' AS json FROM region""")
+
+
 # -- commands --
 
 
@@ -368,22 +473,70 @@ _LOG = [
     {"command": "delete_index", "request_id": "i", "collection_name": "c", "field": "v"},
     {"command": "delete_collection", "request_id": "j", "collection_name": "c"},
     {"command": "rewind", "request_id": "k"},
+    {"command": "read_document", "request_id": "l"},
+    {"command": "create_collection"},
     "",
 ]
 
 
 def _cmd_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of commands in order, an unknown one and an empty one among them."""
+    """A log of commands in order with their whole responses; an unknown one, two without what they
+    need and an empty one among them."""
     commands = Commands(_store(spark))
-    rows = responses_frame(spark, [commands.handle_text(r if isinstance(r, str) else json.dumps(r)) for r in _LOG])
-    return rows.select("request_id", "msg_seq", F.get_json_object("payload", "$.status").alias("status"))
+    return responses_frame(spark, [commands.handle_text(r if isinstance(r, str) else json.dumps(r)) for r in _LOG])
+
+
+_ANSWERS = [
+    ("a", {"message": "Collection c created", "status": "success"}),
+    ("b", {"docId": "d1", "message": "Document added to c", "status": "success"}),
+    ("c", {"_id": "d1", "status": "success", "v": 1}),
+    ("d", {"message": "Index on v created", "status": "success"}),
+    ("e", {"collection": "c", "indexList": "v,"}),
+    ("f", {"Collections": "c,"}),
+    ("g", {"docId": "d1", "message": "Document deleted from c", "status": "success"}),
+    ("h", {"status": "success"}),
+    ("i", {"message": "Index on v deleted", "status": "success"}),
+    ("j", {"message": "Collection c deleted", "status": "success"}),
+    ("k", {"message": "Unknown command: rewind", "status": "error"}),
+    ("l", {"message": "the request needs the text collection_name", "status": "error"}),
+    ("", {"message": "the request needs the text request_id", "status": "error"}),
+]
+_register("cmd_log", _cmd_log, "SELECT * FROM (VALUES " + ", ".join(f"('{i}', 0, '{json.dumps(a)}')" for i, a in _ANSWERS) + ") AS t(request_id, msg_seq, payload)")
 
 
-_register(
-    "cmd_log",
-    _cmd_log,
-    "SELECT * FROM (VALUES ('a', 0, 'success'), ('b', 0, 'success'), ('c', 0, 'success'), ('d', 0, 'success'), ('e', 0, NULL), ('f', 0, NULL), ('g', 0, 'success'), ('h', 0, 'success'), ('i', 0, 'success'), ('j', 0, 'success'), ('k', 0, 'error')) AS t(request_id, msg_seq, status)",
-)
+def _cmd_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that are no JSON, or no objects: an error each, without a request's id."""
+    commands = Commands(_store(spark))
+    rows = responses_frame(spark, [commands.handle_text(t) for t in ("{", "[1]", "7", '{"command": 3, "request_id": "x"}', "   ")])
+    return rows.select("request_id", "msg_seq", F.get_json_object("payload", "$.status").alias("status"), (F.length(F.get_json_object("payload", "$.message")) > 0).alias("says"))
+
+
+_register("cmd_malformed", _cmd_malformed, "SELECT '' AS request_id, CAST(0 AS INTEGER) AS msg_seq, 'error' AS status, true AS says FROM range(4)")
+
+
+def _cmd_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command's file, read back."""
+    own = _nations(spark, sf_dir)
+    folder = f"{own.database.path}-out"
+    _, answers = Commands(own.database).handle({"command": "export_collection", "request_id": "x", "collection_name": "nations", "dest_dir": folder})
+    got = json_io.read_array(own, f"{folder}/nations.json")
+    return got.select("pos", F.try_variant_get("value", "$._id", "string").alias("_id"), F.try_variant_get("value", "$.n_name", "string").alias("n_name"), F.lit(answers[-1]["status"]).alias("status"))
+
+
+_register("cmd_export", _cmd_export, f"SELECT place AS pos, _id, n_name, 'success' AS status FROM ({_NATIONS})")
+
+
+def _import_lines_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with repeated ids, no ids and broken lines: the last of an id counts."""
+    own = _store(spark).create_collection("lines")
+    names = sorted((r.r_regionkey, r.r_name) for r in table(spark, sf_dir, "region").collect())
+    lines = [json.dumps({"_id": str(k), "v": v}) for v in ("old", "new") for k, _ in names] + ['{"v": 1}', "{", '{"_id": 5}', "[]"]
+    own.files.write(f"{own.database.path}/in.jsonl", "\n".join(lines))
+    told = json_io.import_lines(own, f"{own.database.path}/in.jsonl")
+    return own.frame().select("_id", F.try_variant_get("data", "$.v", "string").alias("v"), F.lit(told["imported"]).alias("imported"), F.lit(told["skipped"]).alias("skipped"))
+
+
+_register("import_lines_last", _import_lines_last, "SELECT CAST(r_regionkey AS VARCHAR) AS _id, 'new' AS v, CAST(2 * (SELECT COUNT(*) FROM region) AS INTEGER) AS imported, CAST(4 AS INTEGER) AS skipped FROM region")
 
 
 # -- the mixed load --

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -48,6 +50,24 @@ class Files:
             stream.close()
         self.rename(path + ".new", path)
 
+    def claim(self, path: str) -> bool:
+        """Makes an empty file unless there is one: of several claimants one succeeds."""
+        fs, p = self._at(path)
+        if fs.exists(p):
+            return False
+        try:
+            fs.create(p, False).close()
+        except Exception as e:
+            if fs.exists(p):
+                return False
+            raise e
+        return True
+
+    def age(self, path: str) -> float:
+        """Seconds since the file was written."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def rename(self, old: str, new: str) -> None:
         fs, source = self._at(old)
         _, target = self._at(new)

@@ -44,11 +44,16 @@ def import_json(collection: Collection, path: str) -> dict[str, int]:
     return {"imported": kept, "skipped": total - kept}
 
 
-def import_lines(collection: Collection, path: str) -> None:
-    """Inserts or replaces documents of JSON lines, read in parallel; each needs its ``_id``."""
-    rows = collection.spark.read.text(path).select(F.try_parse_json("value").alias("data"))
-    named = rows.select(F.try_variant_get("data", "$._id", "string").alias("_id"), "data").where("_id is not null")
-    collection.put(named.dropDuplicates(["_id"]))
+def import_lines(collection: Collection, path: str) -> dict[str, int]:
+    """Inserts or replaces documents of JSON lines, read in parallel, and counts them and the lines that are
+    no objects with a text ``_id``.  Of lines with one id the last counts, by file and place."""
+    rows = collection.spark.read.text(path).select(F.try_parse_json("value").alias("data"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    texts = variants.is_object(F.col("data")) & (variants.kind_of(variants.get(F.col("data"), "_id")) == "STRING")
+    name = F.when(texts, F.try_variant_get("data", "$._id", "string"))
+    named = rows.select(name.alias("_id"), "data", "place")
+    total, kept = named.agg(F.count("*"), F.count("_id")).first()
+    collection.put(named.where("_id is not null"), F.col("place"))
+    return {"imported": kept, "skipped": total - kept}
 
 
 def export_json(collection: Collection, folder: str) -> str:

@@ -6,6 +6,10 @@ and then swaps the manifest in one step, so a reader sees all of a commit or not
 and a DataFrame read before stays as it was.  Changes are folded into a new base once there are
 MAX_CHANGES of them.  The manifest also holds the index registry and the batches already taken
 from a stream, so that a repeated batch changes nothing.
+
+A new manifest claims its version first: of two drivers that commit at once one fails with an
+IO_ERROR, and its commit can be tried again.  A claim left by a driver that died is void after
+CLAIM_SECONDS.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ import json
 import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import variants
+from docquarry.functions.ordering import ensure_checkpoint_dir
 from docquarry.operators.find import DocumentView
 from docquarry.operators.update import compile_update
 from docquarry.sources.files import Files
@@ -27,6 +33,7 @@ from docquarry.status import OK, Code, QuarryError, Status, guarded
 
 MAX_CHANGES = 16
 BATCHES_KEPT = 1000
+CLAIM_SECONDS = 600
 _PART = "_id string, data variant, deleted boolean"
 
 
@@ -48,8 +55,23 @@ class Collection:
         return json.loads(self.files.read(path))
 
     def _swap(self, manifest: dict) -> None:
-        manifest["version"] += 1
-        self.files.write(f"{self.path}/manifest.json", json.dumps(manifest, sort_keys=True))
+        """Puts the manifest in the place of the version it was made from."""
+        path, version = f"{self.path}/manifest.json", manifest["version"]
+        claim = f"{self.path}/.claim-{version + 1:08d}"
+        if not self.files.claim(claim):
+            if self.files.age(claim) < CLAIM_SECONDS:
+                raise QuarryError(Code.IO_ERROR, f"another commit to {self.name} is under way")
+            self.files.delete(claim)
+            if not self.files.claim(claim):
+                raise QuarryError(Code.IO_ERROR, f"another commit to {self.name} is under way")
+        now = json.loads(self.files.read(path))["version"] if self.files.exists(path) else 0
+        if now != version:
+            self.files.delete(claim)
+            raise QuarryError(Code.IO_ERROR, f"another commit changed {self.name}")
+        self.files.write(path, json.dumps(manifest | {"version": version + 1}, sort_keys=True))
+        manifest["version"] = version + 1
+        # a later claim of this version fails on the manifest
+        self.files.delete(claim)
 
     def create(self) -> None:
         self.files.make(self.path)
@@ -109,11 +131,20 @@ class Collection:
     # -- writing --
 
     def _commit(self, rows: DataFrame, batch: str | None = None) -> None:
-        """Adds a part of changes (_id, data, deleted), one row for an id."""
+        """Adds a part of changes (_id, data, deleted), one row for an id; nothing of it where an
+        indexed field would hold an object or array."""
+        ensure_checkpoint_dir(self.spark)
         with self.lock:
             manifest = self._manifest()
             if batch is not None and batch in manifest["batches"]:
                 return
+            if manifest["indexes"]:
+                # what is checked is what is written
+                rows = rows.select("_id", "data", "deleted").checkpoint()
+                values = [variants.get(F.col("data"), f) for f in manifest["indexes"]]
+                wrong = [F.coalesce(variants.is_object(v) | variants.is_array(v), F.lit(False)) for v in values]
+                if not rows.where("not deleted").where(reduce(lambda a, b: a | b, wrong)).isEmpty():
+                    raise QuarryError(Code.INVALID_ARGUMENT, "an indexed field would hold an object or array")
             name = f"part-{manifest['version']:08d}-{uuid.uuid4().hex[:8]}"
             rows.select("_id", "data", "deleted").write.parquet(f"{self.path}/{name}")
             manifest["changes"].append(name)
@@ -144,8 +175,12 @@ class Collection:
 
     def put(self, rows: DataFrame, order: Column | None = None, batch: str | None = None) -> None:
         """Inserts or replaces documents (_id, data); of rows with one id the last by
-        ``order`` counts.  An object without ``_id`` gets its id as a field."""
-        if order is not None:
+        ``order`` counts, and without an order such rows are refused.  An object without ``_id``
+        gets its id as a field."""
+        if order is None:
+            if not rows.groupBy("_id").count().where("count > 1").isEmpty():
+                raise QuarryError(Code.INVALID_ARGUMENT, "several rows with one _id need an order")
+        else:
             last = Window.partitionBy("_id").orderBy(order.desc())
             rows = rows.withColumn("__at", F.row_number().over(last)).where("__at = 1")
         data = F.when(variants.get(F.col("data"), "_id").isNull(), variants.with_member(F.col("data"), "_id", F.col("_id").cast("variant"))).otherwise(F.col("data"))

@@ -2,8 +2,8 @@
 
 Requests come as rows (seq, topic, payload).  A batch's requests run in order of ``seq``,
 each seeing what those before it wrote; responses are appended as rows (request_id, msg_seq,
-payload).  Delivery is at least once: redelivered requests are dropped by their id, and a
-repeated batch writes its responses to the same place.
+payload).  Every request is answered, one that comes again too, so the stream keeps no state; a
+repeated batch writes its responses to the same place, and one that has run is left alone.
 """
 
 from __future__ import annotations
@@ -24,12 +24,9 @@ def request_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 100).json(folder)
 
 
-def once_each(requests: DataFrame, topic: str = REQUEST_TOPIC) -> DataFrame:
-    """Requests on the topic that aren't empty, without redeliveries of an id; requests whose id
-    can't be read are known by their place."""
-    own = requests.where((F.col("topic") == topic) & (F.trim(F.coalesce("payload", F.lit(""))) != ""))
-    request_id = F.try_variant_get(F.try_parse_json("payload"), "$.request_id", "string")
-    return own.withColumn("request_id", F.coalesce(request_id, F.concat(F.lit("seq:"), F.col("seq").cast("string")))).dropDuplicates(["request_id"])
+def requests_on(requests: DataFrame, topic: str = REQUEST_TOPIC) -> DataFrame:
+    """Requests on the topic that aren't empty."""
+    return requests.where((F.col("topic") == topic) & (F.trim(F.coalesce("payload", F.lit(""))) != ""))
 
 
 def answer_batch(database: Database, batch: DataFrame) -> DataFrame:
@@ -53,7 +50,7 @@ def start_bridge(database: Database, requests: DataFrame, responses: str, checkp
         if not database.files.exists(f"{target}/_SUCCESS"):
             answer_batch(database, batch).write.mode("overwrite").parquet(target)
 
-    writer = once_each(requests).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = requests_on(requests).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -174,11 +174,23 @@ def receive(client: Client, files: Files, inbox: str, seconds: float, most: int
     return total
 
 
+#: How often a response is published before its failure is raised, and seconds between.
+PUBLISH_TRIES, PUBLISH_WAIT = 3, 0.2
+
+
 def publish_responses(client: Client, responses: Iterable, topic: str = RESPONSE_TOPIC) -> int:
-    """Publishes rows (request_id, msg_seq, payload) in the order they come."""
+    """Publishes rows (request_id, msg_seq, payload) in the order they come; one that fails is
+    tried again."""
     n = 0
     for r in responses:
-        client.publish(f"{topic}/{r.request_id}" if r.request_id else topic, r.payload)
+        for left in reversed(range(PUBLISH_TRIES)):
+            try:
+                client.publish(f"{topic}/{r.request_id}" if r.request_id else topic, r.payload)
+                break
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(PUBLISH_WAIT)
         n += 1
     return n
 

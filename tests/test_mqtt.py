@@ -82,3 +82,27 @@ def test_refusals():
         a, b = socket.socketpair()
         threading.Thread(target=a.sendall, args=(mqtt.packet(3, 2, b"x" * size),), daemon=True).start()
         assert mqtt.read_packet(b) == (3, 2, b"x" * size)
+
+
+def test_publishing_is_tried_again(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from docquarry.streaming import mqtt
+
+    monkeypatch.setattr(mqtt, "PUBLISH_WAIT", 0)
+    sent, fails = [], [2]
+
+    class Flaky:
+        def publish(self, topic, payload):
+            if fails[0]:
+                fails[0] -= 1
+                raise OSError("gone")
+            sent.append((topic, payload))
+
+    rows = [SimpleNamespace(request_id="a", payload="1"), SimpleNamespace(request_id="", payload="2")]
+    assert mqtt.publish_responses(Flaky(), rows, "t") == 2 and sent == [("t/a", "1"), ("t", "2")]
+    fails[0] = 3
+    with pytest.raises(OSError):
+        mqtt.publish_responses(Flaky(), rows, "t")

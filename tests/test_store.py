@@ -222,3 +222,62 @@ def test_import_rules(scratch, tmp_path):
         assert store.attempt(lambda t=text: json_io.import_json(scratch, file(t))).code is code
     assert store.attempt(lambda: json_io.import_json(scratch, str(tmp_path / "none.json"))).code is Code.IO_ERROR
     assert json_io.import_json(scratch, file("[]")) == {"imported": 0, "skipped": 0}
+
+
+def test_indexed_fields_hold_no_objects_whatever_the_write(spark, tmp_path):
+    from docquarry.sources import json_io
+    from docquarry.sources.store import Database
+    from docquarry.status import Code, QuarryError
+
+    database = Database(spark, str(tmp_path / "db"))
+    database.open()
+    own = database.create_collection("c")
+    own.create_documents([("a", {"v": 1}), ("b", {"v": 2})])
+    own.create_index("v")
+    (tmp_path / "in.json").write_text('[{"_id": "c", "v": 3}, {"_id": "d", "v": {"x": 1}}]')
+    (tmp_path / "in.jsonl").write_text('{"_id": "c", "v": [1]}')
+    bad = spark.sql("SELECT 'c' AS _id, parse_json('{\"v\": [1]}') AS data")
+    for write in (lambda: own.put(bad), lambda: own.update_where({"$eq": {"v": 1}}, {"$set": {"v": {"y": 2}}}), lambda: own.update_document("a", {"$push": {"v": 5}}), lambda: json_io.import_json(own, str(tmp_path / "in.json")), lambda: json_io.import_lines(own, str(tmp_path / "in.jsonl"))):
+        with pytest.raises(QuarryError) as e:
+            write()
+        assert e.value.status.code is Code.INVALID_ARGUMENT
+    assert {r._id for r in own.frame().collect()} == {"a", "b"}
+
+
+def test_repeated_ids_need_an_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docquarry.sources.store import Database
+    from docquarry.status import QuarryError
+
+    database = Database(spark, str(tmp_path / "db"))
+    database.open()
+    own = database.create_collection("c")
+    rows = spark.createDataFrame([("a", '{"v": 1}', 1), ("a", '{"v": 2}', 2)], "_id string, t string, k int").select("_id", F.parse_json("t").alias("data"), "k")
+    with pytest.raises(QuarryError):
+        own.put(rows)
+    own.put(rows, F.col("k"))
+    assert own.read_document("a")["v"] == 2
+
+
+def test_two_drivers_do_not_lose_a_commit(spark, tmp_path):
+    from docquarry.sources import store
+    from docquarry.status import Code, QuarryError
+
+    one, other = (store.Database(spark, str(tmp_path / "db")) for _ in range(2))
+    one.open()
+    other.open()
+    a = one.create_collection("c")
+    b = other.get_collection("c")
+    stale = b._manifest()
+    a.create_document("x", {"v": 1})
+    with pytest.raises(QuarryError) as e:
+        b._swap(stale)
+    assert e.value.status.code is Code.IO_ERROR
+    claimed = f"{a.path}/.claim-{a._manifest()['version'] + 1:08d}"
+    assert a.files.claim(claimed) and not a.files.claim(claimed)
+    with pytest.raises(QuarryError):
+        b.create_document("y", {"v": 2})
+    a.files.delete(claimed)
+    b.create_document("y", {"v": 2})
+    assert {r._id for r in a.frame().collect()} == {"x", "y"}
