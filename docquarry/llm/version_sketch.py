@@ -27,8 +27,8 @@ TABLES, PLACES = 4, 8
 CELLS = TABLES * PLACES
 #: Cells of a table, paragraphs, and paragraphs at most, of one sketch of a retry.
 RETRY_PLACES, LOAD, MOST_LOAD = 4, 6, 24
-#: Sketches that one is dealt over at most, rounds of peeling (a fold copies its state at each), rounds of retrying.
-FAN, ROUNDS, RETRIES = 16, 8, 16
+#: Sketches that one is dealt over at most, rounds of peeling (a fold copies its state at each), first and in a retry, rounds of retrying.
+FAN, ROUNDS, RETRY_ROUNDS, RETRIES = 16, 8, 4, 16
 #: Characters of a paragraph at least, and where a long line is cut: after three characters of a quarter of all.
 SHORTEST = 96
 _ASCII = "".join(rf"\x{c:02x}" for c in (0x20, *range(0x21, 0x7F, 4)))
@@ -68,9 +68,13 @@ def sketch(paragraphs: Column, seed: Column, places: int = PLACES) -> Column:
     """array<cell>: the cells of a set of digests."""
 
     def cells(items: Column) -> Column:
-        zero = _cell(F.lit(0), F.lit(0), F.lit(0))
-        own = lambda b: F.filter(items, lambda i: i["bits"].bitwiseAND(b) != 0)
-        return F.transform(_all_bits(places), lambda b: F.aggregate(own(b), zero, lambda a, i: _cell(a["n"] + 1, a["k"].bitwiseXOR(i["k"]), a["x"].bitwiseXOR(i["x"]))))
+        zero = F.lit(0).cast("bigint")
+
+        def cell(own: Column) -> Column:
+            fold = lambda k: F.aggregate(own, zero, lambda a, i: a.bitwiseXOR(i[k]))
+            return _cell(F.size(own), fold("k"), fold("x"))
+
+        return F.transform(F.transform(_all_bits(places), lambda b: F.filter(items, lambda i: i["bits"].bitwiseAND(b) != 0)), cell)
 
     return let(F.transform(paragraphs, lambda d: _item(d, seed, places)), cells)
 
@@ -79,7 +83,7 @@ def subtract(one: Column, other: Column) -> Column:
     return F.zip_with(one, other, lambda a, b: _cell(a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["x"].bitwiseXOR(b["x"])))
 
 
-def peel(cells: Column, seed: Column, places: int = PLACES) -> Column:
+def peel(cells: Column, seed: Column, places: int = PLACES, rounds: int = ROUNDS) -> Column:
     """struct(found array<struct<n,k>>, ok): the digests left in subtracted cells, with 1 for
     those of the first version and -1 for the second's; whether nothing was left."""
     kind = "array<struct<n:int,k:bigint>>"
@@ -103,7 +107,7 @@ def peel(cells: Column, seed: Column, places: int = PLACES) -> Column:
 
     start = F.struct(cells.cast(f"array<{_CELL}>").alias("cells"), F.array().cast(kind).alias("found"), F.lit(True).alias("go"))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)),
+        F.sequence(F.lit(1), F.lit(rounds)),
         start,
         lambda s, _: F.when(s["go"], round_of(s)).otherwise(s),
         lambda s: F.struct(s["found"].alias("found"), (~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["x"] != 0))).alias("ok")),
@@ -130,7 +134,8 @@ def differing(one: Column, other: Column, first: Column) -> Column:
     def attempt(s: Column, seed: Column) -> Column:
         def result(g: Column) -> Column:
             cells = subtract(sketch(g["a"], seed, RETRY_PLACES), sketch(g["b"], seed, RETRY_PLACES))
-            d = F.when(size(g) <= MOST_LOAD, let(peel(cells, seed, RETRY_PLACES), lambda p: F.when(p["ok"], F.size(p["found"])).otherwise(-1))).otherwise(-1)
+            peeled = let(peel(cells, seed, RETRY_PLACES, RETRY_ROUNDS), lambda p: F.when(p["ok"], F.size(p["found"])).otherwise(-1))
+            d = F.when(size(g) == 0, 0).when(size(g) <= MOST_LOAD, peeled).otherwise(-1)
             return F.struct(g.alias("g"), d.alias("d"))
 
         tried = F.transform(F.flatten(F.transform(s["failed"], lambda g: dealt(g, seed))), result)
