@@ -1,15 +1,20 @@
-"""Near copies of whole texts: MinHash candidates, each confirmed by exact Jaccard similarity.
+"""Near copies of whole texts: SimHash through its Gray-order index, completed by MinHash keys, each
+link confirmed by exact Jaccard similarity.
 
 Two texts are near copies where the sets of their runs of SHINGLE words have a Jaccard similarity
 of at least SIMILAR; near copies are linked, and linked texts form components.
 
-Texts with equal sets are one from the start.  Of every other set BANDS keys are made, each
-from ROWS minima of the set under its own multiplication; sets that share a key are candidates.  A
-pair at similarity 0.8 shares none with a probability of 5 in 10^8, and a more similar one with
-less.  Candidates are compared by the shingles of their whole texts, so no link is in doubt.  First
-every set meets the least one of each bucket, which costs no more than a set's keys and joins most
-large groups; then all pairs of a bucket whose sizes allow the similarity and that aren't joined
-yet.  A bucket's slim rows meet in one task, which spills; its texts never do.
+Texts with equal sets are one from the start.  Every other set has a SimHash of 64 bits, and
+``simhash.near_links`` finds those at most DIFFER bits apart: these candidates come first.  A pair at
+similarity 0.8 differs by 9.7 bits on average, so no distance that an index can bear covers all such pairs:
+what is still apart is looked for by BANDS keys, each from ROWS minima of the set under
+its own multiplication; sets that share a key are candidates.  A pair at similarity 0.8 shares none with a probability of 5 in 10^8, and
+a more similar one with less.  Candidates are compared by the shingles of their whole texts, so no
+link is in doubt.  Of a bucket's pairs those are left that the index's links haven't joined and whose
+sizes allow the similarity.  For these a bucket is cut into parts of about CELL shingles by size, and
+each two parts are compared by themselves, so that a text is sent once for a part and not for a
+pair, and no more than two parts are held at once.  Comparisons still grow with the square of a group that is
+alike but below SIMILAR.
 
 Words are runs of anything but the six ASCII blanks, with A-Z lowered.  Fewer words than SHINGLE are
 one shingle; null texts count as empty, and texts without words are alike.
@@ -25,11 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm import simhash
 from docquarry.llm.common import ensure_checkpoint_dir, prepare_workers
 from docquarry.llm.simhash import components
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Bits in which the index's candidates differ at most.
+DIFFER = 6
 BANDS, ROWS = 32, 4
+#: Shingles of a part of a bucket, what a set adds to its own.
+CELL, CELL_ROW = 100_000, 100
 #: Shingles whose minima are taken at a time, keys that may be broadcast.
 PART, BROADCAST_KEYS = 4096, 200_000
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,6 +61,14 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(runs ^ (runs >> np.uint64(32)))
 
 
+def sim_bits(grams: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if it is set in over half the shingles."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(grams), PART):
+        total += np.unpackbits(grams[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(grams), bitorder="little").tobytes(), "little")
+
+
 def band_keys(grams: np.ndarray) -> np.ndarray:
     """BANDS keys of a set that isn't empty."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
@@ -70,21 +88,22 @@ def alike(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
 
 
 def _sets(docs: DataFrame, kind: str) -> DataFrame:
-    """(id, text_hash, fp, size, keys): ``fp`` names the set of shingles."""
+    """(id, text_hash, fp, sim, size, keys): ``fp`` names the set of shingles, ``sim`` is its SimHash."""
     prepare_workers(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            prints, sizes, keys = [], [], []
+            prints, sims, sizes, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
                 grams = shingles(text)
                 prints.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                sims.append(sim_bits(grams))
                 sizes.append(len(grams))
                 keys.append(band_keys(grams).view(np.int64) if len(grams) else [])
-            fp = np.array(prints, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_hash", "fp", "size", "keys"])
+            fp, sim = (np.array(x, np.uint64).view(np.int64) for x in (prints, sims))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(sim), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_hash", "fp", "sim", "size", "keys"])
 
-    return docs.mapInArrow(run, f"id {kind}, text_hash long, fp long, size long, keys array<long>")
+    return docs.mapInArrow(run, f"id {kind}, text_hash long, fp long, sim long, size long, keys array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -110,32 +129,110 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def _fit(a: str, b: str, similar: float):
+    """Whether two sizes allow the similarity."""
+    return F.least(a, b) >= similar * F.greatest(a, b) - 1e-9 * F.greatest(a, b)
+
+
+def by_fingerprint(sets: DataFrame, similar: float = SIMILAR, differ: int = DIFFER) -> DataFrame:
+    """(a, b): candidates among the distinct sets (fp, sim, size): those of one SimHash with the least of
+    them, and the least ones of SimHashes that the Gray-order index links."""
+    heads = sets.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("head")).checkpoint()
+    like = sets.join(heads, "sim").where("fp <> head.fp").where(_fit("size", "head.size", similar)).select(F.col("fp").alias("a"), F.col("head.fp").alias("b"))
+    near = simhash.near_links(heads.select(F.col("sim").alias("fp")), differ)
+    x, y = (heads.select(F.col("sim").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab")
+    ends = near.join(x, "a").join(y, "b").where(_fit("a_head.size", "b_head.size", similar))
+    return like.union(ends.select(F.greatest("a_head.fp", "b_head.fp").alias("a"), F.least("a_head.fp", "b_head.fp").alias("b")))
+
+
+def _cell_links(rows: list[tuple], similar: float) -> list[tuple[int, int]]:
+    """Links that connect all near copies between the rows (side, fp, root, keys before this band,
+    shingles) of the two sides, or within the only side, but for what is joined or met in an earlier band."""
+    rows.sort(key=lambda r: r[0])
+    fp, root = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+    keys = np.array([r[3] for r in rows], np.int64).reshape(len(rows), -1)
+    sizes = np.array([len(r[4]) for r in rows])
+    ends = np.cumsum(sizes)
+    held, place = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+    own = np.zeros(len(held), np.uint8)
+    first = sum(r[0] == 0 for r in rows)
+    links = []
+    for i in range(first):
+        at = first if first < len(rows) else i + 1
+        others = sizes[at:]
+        open_ = (root[at:] != root[i]) & (np.minimum(others, sizes[i]) >= (similar - 1e-9) * np.maximum(others, sizes[i])) & ~(keys[at:] == keys[i]).any(1)
+        if not open_.any():
+            continue
+        mine = place[ends[i] - sizes[i] : ends[i]]
+        own[mine] = 1
+        if open_.sum() < 16:
+            both = np.array([own[place[ends[at + j] - others[j] : ends[at + j]]].sum(dtype=np.int64) for j in np.flatnonzero(open_)])
+        else:
+            start = ends[at] - sizes[at]
+            both = np.add.reduceat(own[place[start:]], ends[at:] - others - start, dtype=np.int64)[open_]
+        own[mine] = 0
+        every = others[open_] + sizes[i] - both
+        for j in (at + np.flatnonzero(open_)[both >= (similar - 1e-9) * every]).tolist():
+            if root[j] != root[i]:
+                links.append((fp[i], fp[j]))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _within(open_: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(a, b): links that connect all near copies of different roots in a bucket, from the open
+    buckets' rows (band, key, fp, size, root) and the texts (fp, keys, body)."""
+    # of buckets with the same sets, the one of the first band
+    buckets = open_.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("mark"))
+    firsts = buckets.groupBy("n", "mark").agg(F.min(F.struct("band", "key")).alias("own")).select("own.band", "own.key")
+    before = Window.partitionBy("band", "key").orderBy("size", "fp").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum(F.col("size") + CELL_ROW).over(before), F.lit(0)) / CELL)
+    placed = open_.join(firsts, ["band", "key"]).withColumn("part", part).checkpoint()
+    parts = placed.groupBy("band", "key", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("root").alias("least"), F.max("root").alias("most"))
+    p = parts.select("band", "key", F.col("part").alias("p"), "high", F.col("least").alias("p_least"), F.col("most").alias("p_most"))
+    q = parts.select("band", "key", F.col("part").alias("q"), "low", "least", "most")
+    sized = (F.col("p") == F.col("q")) | ((F.col("p") < F.col("q")) & (F.col("high") >= (similar - 1e-9) * F.col("low")))
+    cells = p.join(q, ["band", "key"]).where(sized).where(F.least("least", "p_least") != F.greatest("most", "p_most")).select("band", "key", "p", "q").checkpoint()
+    sides = [placed.join(c.withColumn("part", F.col(at)), ["band", "key", "part"]).withColumn("side", F.lit(k)) for k, (c, at) in enumerate([(cells, "p"), (cells.where("p <> q"), "q")])]
+    rows = sides[0].unionByName(sides[1]).join(texts, "fp")
+    rows = rows.select("band", "key", "p", "q", "side", "fp", "root", F.slice("keys", F.lit(1), F.col("band")).alias("keys"), "body")
+    where = ["band", "key", "p", "q"]
+
+    def run(batches):
+        cell, held = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] != cell:
+                    if held:
+                        found += _cell_links(held, similar)
+                    cell, held = row[:4], []
+                held.append((*row[4:8], shingles(row[8])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if held:
+            found = _cell_links(held, similar)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition(*where).sortWithinPartitions(*where).mapInArrow(run, "a long, b long")
+
+
 def near_links(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similar: float = SIMILAR) -> DataFrame:
-    """(a, b): links between the distinct ``sets`` (fp, size, keys) that connect all near copies;
+    """(a, b): links between the distinct ``sets`` (fp, sim, size, keys) that connect all near copies;
     texts_of(kept rows of fp) gives (fp, body), asked for the sets with candidates only."""
     ensure_checkpoint_dir(sets.sparkSession)
     prepare_workers(sets.sparkSession)
+    near = by_fingerprint(sets, similar).checkpoint()
     keyed = sets.select("fp", "size", F.posexplode("keys").alias("band", "key"))
     bucket = Window.partitionBy("band", "key")
-    led = keyed.withColumn("first", F.min(F.struct("fp", "size")).over(bucket)).withColumn("last", F.max("fp").over(bucket))
     # a bucket of one set has no candidates
-    held = led.where("first.fp <> last").select("fp", "size", "band", "key", "first").checkpoint()
-    bodies = texts_of(held.select("fp").distinct().checkpoint()).checkpoint()
-
-    def fit(a: str, b: str):
-        return F.least(a, b) >= similar * F.greatest(a, b) - 1e-9 * F.greatest(a, b)
-
-    stars = held.where(F.col("fp") != F.col("first.fp")).where(fit("size", "first.size")).select(F.col("fp").alias("a"), F.col("first.fp").alias("b")).distinct().checkpoint()
-    links = _confirmed(stars, bodies, similar).checkpoint()
+    held = keyed.withColumn("least", F.min("fp").over(bucket)).withColumn("most", F.max("fp").over(bucket)).where("least <> most").drop("least", "most").checkpoint()
+    asked = held.select("fp").union(near.select("a")).union(near.select("b")).distinct().checkpoint()
+    bodies = texts_of(asked).checkpoint()
+    links = _confirmed(near, bodies, similar).checkpoint()
     rooted = held.join(components(links).distinct(), F.col("fp") == F.col("v"), "left").select("fp", "size", "band", "key", F.coalesce("root", "fp").alias("root"))
     # only buckets whose sets aren't all joined have pairs left
-    whole = Window.partitionBy("band", "key")
-    open_ = rooted.withColumn("least", F.min("root").over(whole)).withColumn("most", F.max("root").over(whole)).where("least <> most").drop("least", "most").checkpoint()
-    x, y = open_.alias("x"), open_.alias("y")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") > F.col("y.fp"))
-    rest = x.join(y, same & (F.col("x.root") != F.col("y.root"))).where(fit("x.size", "y.size")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    return links.union(_confirmed(rest, bodies, similar))
+    open_ = rooted.withColumn("least", F.min("root").over(bucket)).withColumn("most", F.max("root").over(bucket)).where("least <> most").drop("least", "most").checkpoint()
+    return links.union(_within(open_, bodies.join(sets.select("fp", "keys"), "fp"), similar))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -146,7 +243,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     keyed = docs.select(F.col(id_col).alias("id"), key.alias("text_hash"), F.col(text_col).alias("body"))
     slim = _sets(keyed, docs.schema[id_col].dataType.simpleString()).checkpoint()
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
-    sets = slim.groupBy("fp").agg(first.alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")).checkpoint()
+    sets = slim.groupBy("fp").agg(first.alias("least"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("keys").alias("keys")).checkpoint()
 
     def texts_of(fps: DataFrame) -> DataFrame:
         """One row's text stands for its set."""

@@ -36,6 +36,8 @@ SHINGLE, SEED, DIFFER = 3, 42, 2
 #: Shingles whose bits are counted at a time.
 PART = 1 << 15
 NODES = list(combinations(range(8), 2))
+#: Nodes up to this size are compared pair by pair where more than two bytes are free.
+SMALL = 16
 _BITS = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 
 
@@ -114,13 +116,61 @@ def _forest(members: np.ndarray, first: int, second: int, differ: int) -> list[t
     return links
 
 
+def _search(members: np.ndarray, free: tuple[int, ...], differ: int) -> list[tuple[int, int]]:
+    """Links that span the components of one node's members (distinct, equal in all but the
+    free bytes): each member reached asks the subnodes in Gray order for those not yet reached."""
+    upper = np.uint64(sum(255 << 8 * k for k in free[: len(free) // 2]))
+    left = members[np.lexsort([gray_rank((members >> np.uint64(8 * k)).astype(np.uint8)) for k in reversed(free)])]
+    links, queue = [], []
+    while len(left):
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(left & upper)) + 1, [len(left)]])
+        heads, spans = left[cuts[:-1]] & upper, np.diff(cuts)
+        here, at, gone = np.ones(len(left), bool), 0, 0
+        while 2 * gone <= len(left):
+            if not queue:
+                at += int(here[at:].argmax())
+                here[at] = False
+                gone += 1
+                queue.append(left[at])
+            asked = queue.pop()
+            # a subnode is pruned as a whole once its own bytes differ by too much
+            close = np.flatnonzero(np.bitwise_count(heads ^ (asked & upper)) <= differ)
+            own = spans[close]
+            places = np.repeat(cuts[close] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            places = places[here[places]]
+            near = places[np.bitwise_count(left[places] ^ asked) <= differ]
+            here[near] = False
+            gone += len(near)
+            queue.extend(left[near])
+            links += [(int(m), int(asked)) for m in left[near]]
+        left = left[here]
+    return links
+
+
+def _small(node: np.ndarray, members: np.ndarray, differ: int) -> list[tuple[int, int]]:
+    """All links within small nodes, each a run of equal ``node``."""
+    links = []
+    for k in range(1, SMALL):
+        same = np.flatnonzero(node[k:] == node[:-k])
+        if not len(same):
+            break
+        same = same[np.bitwise_count(members[same + k] ^ members[same]) <= differ]
+        links += zip(members[same + k].tolist(), members[same].tolist(), strict=True)
+    return links
+
+
 def near_links(distinct: DataFrame, differ: int = DIFFER) -> DataFrame:
     """(a, b), a > b: links between distinct fingerprints ``fp`` that connect all that are
-    at most ``differ`` (0 to 2) bits apart."""
-    if not 0 <= differ <= 2:
-        raise ValueError("differ must be 0, 1 or 2")
+    at most ``differ`` (0 to 6) bits apart.
+
+    Beyond two bits a node has as many free bytes as bits may differ, so it may have more members than
+    65,536; unlike fingerprints fill it with one in 2 to the power of its fixed bits.
+    """
+    if not 0 <= differ <= 6:
+        raise ValueError("differ must be 0 to 6")
     prepare_workers(distinct.sparkSession)
-    masks = [~((255 << 8 * i) | (255 << 8 * j)) & (1 << 64) - 1 for i, j in NODES]
+    nodes = NODES if differ <= 2 else list(combinations(range(8), differ))
+    masks = [~sum(255 << 8 * k for k in free) & (1 << 64) - 1 for free in nodes]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     node = F.explode(F.array(*(F.struct(F.lit(k).alias("node"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(signed))))
     keyed = distinct.select("fp", node.alias("n")).select("n.node", "n.pattern", "fp")
@@ -132,10 +182,13 @@ def near_links(distinct: DataFrame, differ: int = DIFFER) -> DataFrame:
         def links(node: np.ndarray, pattern: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero((np.diff(node) != 0) | (np.diff(pattern) != 0)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(node)]])
-            found = []
-            for k in np.flatnonzero(ends - starts > 1).tolist():
-                first, second = NODES[int(node[starts[k]])]
-                found += _forest(fp[starts[k] : ends[k]].view(np.uint64), first, second, differ)
+            found, sizes = [], ends - starts
+            if differ > 2:
+                few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+                found += _small(np.repeat(np.arange(len(sizes)), sizes)[few], fp.view(np.uint64)[few], differ)
+            for k in np.flatnonzero(sizes > (SMALL if differ > 2 else 1)).tolist():
+                free, members = nodes[int(node[starts[k]])], fp[starts[k] : ends[k]].view(np.uint64)
+                found += _forest(members, *free, differ) if differ <= 2 else _search(members, free, differ)
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs.max(1) if len(pairs) else pairs[:, 0], pa.int64()), pa.array(pairs.min(1) if len(pairs) else pairs[:, 1], pa.int64())], names=["a", "b"])
 
