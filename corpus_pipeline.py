@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids): token ids with begin and end of each row's text."""
-    coded = sentencepiece_codec.encode_documents(docs, tokenizer_model())
+    coded = sentencepiece_codec.encode_documents(docs, tokenizer_model(), spans=False)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

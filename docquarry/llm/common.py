@@ -20,6 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch: they bound a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = "1000", "8m"
 
+#: Settings of a Python worker's process, which stays after its task: it has one core, and gives back what it
+#: frees.  Else Arrow's own pool and malloc, whose threshold for mapping rises, keep the largest batches' memory.
+WORKER_ENV = {"OPENBLAS_NUM_THREADS": "1", "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -30,12 +34,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepare_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package and keeps their batches small."""
+    """Lets Python workers import this package and keeps their batches and what they hold small."""
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
-    env["OPENBLAS_NUM_THREADS"] = "1"  # a worker has one core
+    env.update(WORKER_ENV)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -300,19 +300,21 @@ def codec(model_path: str) -> Codec:
     return _codecs[model_path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, begins array<int>, ends array<int>): one row per row."""
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+    """(id, ids array<int>, begins array<int>, ends array<int>), or (id, ids) without spans: one row per row."""
     prepare_workers(docs.sparkSession)
+    names = ["ids", "begins", "ends"] if spans else ["ids"]
 
     def run(batches):
         own = codec(model_path)
         for batch in batches:
-            coded = list(own.encode_many(batch.column(1).to_pylist()))
-            lists = [pa.array([c[k].astype(np.int32) for c in coded], pa.list_(pa.int32())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "ids", "begins", "ends"])
+            # of a batch only what is asked for is held
+            coded = [[x.astype(np.int32) for x in c[: len(names)]] for c in own.encode_many(batch.column(1).to_pylist())]
+            lists = [pa.array([c[k] for c in coded], pa.list_(pa.int32())) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} array<int>" for n in names)).withColumnRenamed("id", id_col)
 
 
 def decode_documents(coded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

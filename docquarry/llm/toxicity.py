@@ -61,7 +61,9 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col:
     if not picked:
         return [], np.zeros(0, np.int64)
     kind = docs.schema[id_col].dataType.simpleString()
-    keys = docs.sparkSession.createDataFrame(picked, f"fit_id {kind}, n int, fit_mark long").drop("n")
+    # as Arrow: from Python's rows it would take Python workers of another environment beside the operators'
+    table = pa.table({"fit_id": [p[0] for p in picked], "fit_mark": [p[2] for p in picked]})
+    keys = docs.sparkSession.createDataFrame(table, f"fit_id {kind}, fit_mark long")
     bodies = docs.select(F.col(id_col).alias("fit_doc"), text.alias("fit_text")).join(F.broadcast(keys), (F.col("fit_doc") == F.col("fit_id")) & (F.xxhash64("fit_text") == F.col("fit_mark")))
     texts = dict(bodies.groupBy("fit_doc").agg(F.min("fit_text").alias("fit_text")).collect())
     got = sorted((r.fit_id, r.fit_label) for r in chosen.collect() if r.fit_id in texts)

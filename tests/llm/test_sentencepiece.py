@@ -68,6 +68,14 @@ def test_digests_and_round_trip(frame, collected, own, odd):
     assert codec.token_digests(frame([]), tokenizer_model()).count() == 0
 
 
+def test_ids_without_spans(frame, collected, odd):
+    docs, model = frame(odd), tokenizer_model()
+    got = codec.encode_documents(docs, model, spans=False)
+    assert got.columns == ["doc_id", "ids"]
+    assert collected(got) == collected(codec.encode_documents(docs, model).select("doc_id", "ids"))
+    assert codec.encode_documents(frame([]), model, spans=False).count() == 0
+
+
 def test_memo_bound_changes_nothing(monkeypatch, own):
     texts = random_texts(200)
     want = list(own.digests(texts))
