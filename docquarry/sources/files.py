@@ -24,6 +24,11 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
+    def parts(self, path: str) -> list[str]:
+        """Names of the files that Spark's writer left in a folder."""
+        fs, p = self._at(path)
+        return sorted(n for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("part-"))
+
     def make(self, path: str) -> None:
         fs, p = self._at(path)
         fs.mkdirs(p)

@@ -3,28 +3,101 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from itertools import groupby
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from docquarry.functions import variants
+from docquarry.functions.ordering import ensure_checkpoint_dir
+from docquarry.functions.workers import importable
+from docquarry.sources import json_cuts
 from docquarry.sources.store import Collection
 from docquarry.status import Code, QuarryError
 
+#: Characters of a piece of an exported file.
+PIECE_CHARS = 1 << 20
+
+_EFFECT = pa.struct([("inside", pa.bool_()), ("change", pa.int32()), ("least", pa.int32()), ("depths", pa.list_(pa.int32())), ("commas", pa.list_(pa.int32()))])
+_BLOCK = pa.schema([("file", pa.string()), ("first", pa.int64()), ("k", pa.int32()), ("opens", pa.bool_()), ("outside", _EFFECT), ("inside", _EFFECT), ("block", pa.binary())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _BLOCK from the texts between commas, in each split's order."""
+    key, k, held, size = None, 0, [], 0
+
+    def block() -> pa.RecordBatch:
+        text = b"".join(held)
+        one = dict(zip(_BLOCK.names, (*key, k, key[1] == 0 and k == 0 and json_cuts.opens(text), *(json_cuts.effect(text, i)._asdict() for i in (False, True)), text), strict=True))
+        return pa.RecordBatch.from_pylist([one], _BLOCK)
+
+    for batch in batches:
+        for file, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (file, first) or size >= json_cuts.BLOCK_BYTES:
+                if held:
+                    yield block()
+                key, k, held, size = (file, first), k + 1 if key == (file, first) else 0, [], 0
+            held += (text, b",")
+            size += len(text) + 1
+    if held:
+        yield block()
+
+
+def _kind(collection: Collection, path: str) -> str | None:
+    """The type of a whole text that is no array; None where it is no JSON."""
+    whole = collection.spark.read.text(path, wholetext=True).select(F.schema_of_variant(F.try_parse_json("value")))
+    return next((r[0] for r in whole.collect() if r[0] is None or not r[0].startswith("ARRAY")), None)
+
 
 def read_array(collection: Collection, path: str) -> DataFrame:
-    """(pos, value): the elements of a file's one top-level array."""
+    """(pos, value): the elements of a file's one top-level array, which are cut and parsed in parallel."""
     spark = collection.spark
     if not collection.files.exists(path):
         raise QuarryError(Code.IO_ERROR, f"cannot open {path}")
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    kinds = [r[0] for r in whole.select(F.schema_of_variant("v")).limit(2).collect()]
-    if not kinds or kinds[0] is None:
+    importable(spark)
+    ensure_checkpoint_dir(spark)
+    texts = spark.read.text(path, lineSep=",")
+    file = F.col("_metadata.file_path") if len(texts.inputFiles()) > 1 else F.lit("")
+    # splits may fall otherwise when they are read again, so the blocks are kept
+    blocks = texts.select(file.alias("file"), F.col("_metadata.file_block_start").alias("first"), F.col("value").cast("binary")).mapInArrow(_blocks, from_arrow_schema(_BLOCK)).checkpoint()
+    told = sorted(blocks.drop("block").collect(), key=lambda r: (r.file, r.first, r.k))
+    known, ended = {}, bool(told)
+    for _, rows in groupby(told, lambda r: r.file):
+        rows = list(rows)
+        if not rows[0].opens:
+            if _kind(collection, path) is not None:
+                raise QuarryError(Code.NOT_SUPPORTED, f"{path} holds no array of objects")
+            ended = False
+            break
+        found, ends = json_cuts.starts((r.outside, r.inside) for r in rows)
+        ended &= ends
+        known |= {(r.file, r.first, r.k): s for r, s in zip(rows, found, strict=False)}
+    if not ended:
+        raise QuarryError(Code.INTERNAL_ERROR, f"{path} is no JSON text")
+
+    def elements(whole: bool) -> DataFrame:
+        def run(rows):
+            for r in rows:
+                if start := known.get((r.file, r.first, r.k)):
+                    for pos, own, text in json_cuts.cut(r.block, start):
+                        if own == whole:
+                            yield r.file, pos, start.place, text
+
+        return spark.createDataFrame(blocks.select("file", "first", "k", "block").rdd.mapPartitions(run), "file string, pos int, place int, text binary", verifySchema=False)
+
+    parts = elements(False).groupBy("file", "pos").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("parts"))
+    joined = parts.select("pos", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["text"])).alias("text"))
+    text = F.concat(F.lit("["), F.col("text").cast("string"), F.lit("]"))
+    items = elements(True).select("pos", "text").unionAll(joined).select("pos", F.try_variant_get(F.try_parse_json(text), "$[0]", "variant").alias("value")).checkpoint()
+    if not items.where("value is null").isEmpty():
         raise QuarryError(Code.INTERNAL_ERROR, f"{path} is no JSON text")
-    if not kinds[0].startswith("ARRAY"):
-        raise QuarryError(Code.NOT_SUPPORTED, f"{path} holds no array of objects")
-    return whole.select(F.posexplode(variants.as_array(F.col("v"))).alias("pos", "value"))
+    return items
 
 
 def import_json(collection: Collection, path: str) -> dict[str, int]:
@@ -56,24 +129,46 @@ def import_lines(collection: Collection, path: str) -> dict[str, int]:
     return {"imported": kept, "skipped": total - kept}
 
 
+def _shown(data: Any) -> str:
+    text = json.dumps(variants.to_python(data), indent=4, sort_keys=True, ensure_ascii=False)
+    return "\n".join("    " + line for line in text.split("\n"))
+
+
 def export_json(collection: Collection, folder: str) -> str:
     """One array of all documents by id, indented and with sorted names, in
-    ``<folder>/<collection>.json``; it appears in one step when complete."""
-    rows = collection.frame()
+    ``<folder>/<collection>.json``; it appears in one step when complete.
+
+    Executors make the text, in pieces of whole documents; one task puts the pieces into the one file.
+    """
+    spark, files, rows = collection.spark, collection.files, collection.frame()
     folder = folder.rstrip("/")
-    collection.files.make(folder)
+    files.make(folder)
     target = f"{folder}/{collection.name}.json"
-    texts = (json.dumps(variants.to_python(r.data), indent=4, sort_keys=True, ensure_ascii=False) for r in rows.orderBy("_id").toLocalIterator(prefetchPartitions=True))
-    fs, temporary = collection.files._at(target + ".dump")
-    stream = fs.create(temporary, True)
+    last = rows.agg(F.max("_id")).first()[0]
+    if last is None:
+        files.write(target, "[\n]\n")
+        return target
+    importable(spark)
+
+    def pieces(part: int, rows):
+        held, size, k = [] if part else ["["], 0, 0
+        for r in rows:
+            held.append(_shown(r.data) + ("\n]" if r._id == last else ","))
+            size += len(held[-1])
+            if size >= PIECE_CHARS:
+                yield part, k, "\n".join(held)
+                held, size, k = [], 0, k + 1
+        if held:
+            yield part, k, "\n".join(held)
+
+    made = spark.createDataFrame(rows.orderBy("_id").rdd.mapPartitionsWithIndex(pieces), "part int, k int, value string", verifySchema=False)
+    temporary = f"{target}.dump-{uuid.uuid4().hex[:8]}"
     try:
-        stream.write(bytearray(b"["))
-        for k, text in enumerate(texts):
-            stream.write(bytearray((",\n" if k else "\n").encode() + "\n".join("    " + line for line in text.split("\n")).encode()))
-        stream.write(bytearray(b"\n]\n"))
+        made.repartition(1).sortWithinPartitions("part", "k").select("value").write.text(temporary, compression="none", lineSep="\n")
+        (own,) = files.parts(temporary)
+        files.rename(f"{temporary}/{own}", target)
     finally:
-        stream.close()
-    collection.files.rename(target + ".dump", target)
+        files.delete(temporary)
     return target
 
 

@@ -85,17 +85,17 @@ class Collection:
     def frame(self) -> DataFrame:
         """(_id, data): the current snapshot."""
         manifest = self._manifest()
-        base = self._part(manifest["base"]).select("_id", "data") if manifest["base"] else self.spark.createDataFrame([], "_id string, data variant")
+        base = self._part(manifest["base"]).select("_id", "data") if manifest["base"] else None
         if not manifest["changes"]:
-            return base
+            return self.spark.createDataFrame([], "_id string, data variant") if base is None else base
         changes = None
         for k, name in enumerate(manifest["changes"]):
             part = self._part(name).withColumn("seq", F.lit(k))
             changes = part if changes is None else changes.unionAll(part)
         newest = Window.partitionBy("_id").orderBy(F.col("seq").desc())
         latest = changes.withColumn("at", F.row_number().over(newest)).where("at = 1")
-        kept = base.join(latest.select("_id"), "_id", "left_anti")
-        return kept.unionAll(latest.where("not deleted").select("_id", "data"))
+        live = latest.where("not deleted").select("_id", "data")
+        return live if base is None else base.join(latest.select("_id"), "_id", "left_anti").unionAll(live)
 
     def view(self) -> DocumentView:
         return DocumentView(self.frame(), "_id", set(self._manifest()["indexes"]))
